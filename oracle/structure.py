@@ -35,7 +35,7 @@ ORACLE = {
         from (select *, case when d is null then 'INVALID_DATE' when d > date '2001-06-01' then 'FUTURE_DATE' else 'OK' end date_status
         from (select *, case when as_of_text is null then date '2001-06-01'
           else cast(try_strptime(as_of_text, '%Y-%m-%d') as date) end d from dreq))))""", "dreq"),
-    "b08_quarter_window": """select o_orderkey, 'Q' || quarter(o_orderdate) quarter,
+    "b08_quarter_window": """select o_orderkey, 'Q' || quarter(o_orderdate) as quarter,
         cast(date_trunc('quarter', o_orderdate) as date) quarter_start,
         cast(date_trunc('quarter', o_orderdate) + interval 3 month as date) quarter_end from orders""",
     "b09_half_year": "select o_orderkey, case when month(o_orderdate) <= 6 then 'H1' else 'H2' end half from orders",

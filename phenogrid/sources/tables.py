@@ -125,7 +125,7 @@ def pixels(spark, sf_dir) -> DataFrame:
         "cast(l_orderkey % 2 as int) sensor", "cast((l_orderkey + l_linenumber) % 16 as int) fmask",
         "l_discount * 2.0D b1", "l_discount * 3.0D b2", "l_tax * 2.0D b3",
         "case when l_quantity < 5 then 0.0D else l_quantity * 0.01D end b4",
-        "l_tax * 4.0D b5", "l_extendedprice * 0.000005D b6")
+        "l_tax * 4.0D b5", "l_tax * 3.0D + l_discount b6")
 
 
 def embeddings(spark, sf_dir) -> DataFrame:
