@@ -25,8 +25,8 @@ def q(tail: str, *names: str) -> str:
 
 
 def r(expr, digits=6):
-    """Rounded for the comparison; + 0.0 turns a negative zero into zero."""
-    return f"(round({expr}, {digits}) + 0.0)"
+    """Rounded like the Spark side (same nudge); + 0.0 turns a negative zero into zero."""
+    return f"(round(({expr}) + 1e-9, {digits}) + 0.0)"
 
 
 def rs(cols, digits=6):

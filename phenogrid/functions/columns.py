@@ -53,8 +53,14 @@ def ladder(cases, default) -> Column:
     return reduce(lambda acc, cv: acc.when(cv[0], cv[1]), rest, start).otherwise(default)
 
 
+def rounded(c, digits=6) -> Column:
+    """Rounded for output; the nudge keeps a value that sits on a rounding boundary from
+    depending on the order in which a distributed sum was added up."""
+    return F.round(col(c) + 1e-9, digits)
+
+
 def round_cols(df, cols, digits=6):
-    return df.withColumns({c: F.round(c, digits) for c in cols})
+    return df.withColumns({c: rounded(c, digits) for c in cols})
 
 
 def r2(truth, pred) -> Column:

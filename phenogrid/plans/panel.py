@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from phenogrid.functions.columns import round_cols
+from phenogrid.functions.columns import round_cols, rounded
 from phenogrid.operators import composites as comp
 from phenogrid.operators import fetchlog, gaps, grid, quality, weather
 from phenogrid.plans.registry import query
@@ -185,7 +185,7 @@ def _steps_text(c):
 @query("c24_forecast_buckets")
 def c24(spark, d):
     out = weather.forecast_steps(t.daily_weather(spark, d))
-    return out.select("mws_id", F.round("api_precip_sum", 6).alias("api_precip_sum"), F.round("api_temp_mean", 6).alias("api_temp_mean"),
+    return out.select("mws_id", rounded("api_precip_sum", 6).alias("api_precip_sum"), rounded("api_temp_mean", 6).alias("api_temp_mean"),
                       _steps_text("api_precip_steps"), _steps_text("api_temp_steps"), F.concat_ws(",", "reasons").alias("reasons"))
 
 
@@ -216,7 +216,7 @@ def c27(spark, d):
 @query("c28_weather_sanity")
 def c28(spark, d):
     out = weather.sanity(_weather(spark, d))
-    return out.select("mws_id", F.round("precip_sum", 6).alias("precip_sum"), F.round("temp_mean", 4).alias("temp_mean"),
+    return out.select("mws_id", rounded("precip_sum", 6).alias("precip_sum"), rounded("temp_mean", 4).alias("temp_mean"),
                       F.concat_ws(",", "forecast_issues").alias("forecast_issues"))
 
 

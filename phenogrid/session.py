@@ -56,3 +56,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder for tables written and read back."""
     return f"{shared_dir(spark).rstrip('/')}/phenogrid-{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as a columnar table in the shared folder and read it back.
+
+    For frames that several later steps scan with different column subsets: unlike a
+    checkpoint, the copy can be pruned and filtered by the scan.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
