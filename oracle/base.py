@@ -84,3 +84,9 @@ cte("tiles", """
 select mws_id, cast(y as int) tile_year, 'Q' || qq period,
   ((loc_no*7 + y*13 + qq*29) % 100)/100.0::double coverage
 from loc, range(1996,2002) t(y), range(1,5) u(qq) where (loc_no+y+qq) % 5 <> 0""", "loc")
+
+cte("plots", """
+select *, 'd' || cast(floor(lat*2) as int) || '_t' || cast(floor(lon*2) as int) tile from (
+select c_custkey plot_id, 19.0::double + ((c_custkey*7919)%2800)*0.001::double + case when c_custkey % 50 = 7 then 5.0::double else 0 end lat,
+ 76.0::double + ((c_custkey*104729)%2900)*0.001::double lon,
+ case c_custkey % 3 when 0 then 'rain-fed' when 1 then 'irrigated' end regime from customer)""")

@@ -45,10 +45,9 @@ ORACLE = {
     "b12_cyclic_features": q(f"""select mws_id, date, {r('sin(2*pi()*month(date)/12)')} month_sin,
         {r('cos(2*pi()*month(date)/12)')} month_cos, {r('sin(2*pi()*dayofyear(date)/365)')} doy_sin,
         {r('cos(2*pi()*dayofyear(date)/365)')} doy_cos from grid""", "grid"),
-    "b13_location_key": """select c_custkey plot_id, printf('%.4f_%.4f', 19.0::double + ((c_custkey*7919)%2800)*0.001::double,
-        76.0::double + ((c_custkey*104729)%2900)*0.001::double) loc_key from customer""",
-    "b14_utm_zone": """select c_custkey plot_id, 'EPSG:' || (case when (c_custkey%2=0) then 32700 else 32600 end
-        + cast(floor((76.0::double + ((c_custkey*104729)%2900)*0.001::double + 180)/6) as int) + 1) epsg from customer""",
+    "b13_location_key": q("select plot_id, printf('%.4f_%.4f', lat, lon) loc_key from plots", "plots"),
+    "b14_utm_zone": q("""select plot_id, 'EPSG:' || (case when plot_id % 2 = 0 then 32700 else 32600 end
+        + cast(floor((lon + 180)/6) as int) + 1) epsg from plots""", "plots"),
     "b15_days_ahead_mode": """select o_orderkey, target, days_ahead, case when days_ahead <= 0 then 'historical'
         when days_ahead <= 98 then 'near_future' else 'far_future' end as mode, target - 98 as data_cutoff,
         case when days_ahead <= 0 then target else date '2000-06-01' end fetch_anchor,

@@ -148,10 +148,11 @@ def daily_weather(spark, sf_dir) -> DataFrame:
 
 
 def plots(spark, sf_dir) -> DataFrame:
-    """Advisory requests: one plot per customer, in a 2.8 x 2.9 degree study area."""
+    """Advisory requests: one plot per customer, in a 2.8 x 2.9 degree study area (a few far off it)."""
     return table(spark, sf_dir, "customer").selectExpr(
         "c_custkey plot_id",
-        "19.0D + ((c_custkey * 7919) % 2800) * 0.001D lat", "76.0D + ((c_custkey * 104729) % 2900) * 0.001D lon",
+        "19.0D + ((c_custkey * 7919) % 2800) * 0.001D + case when c_custkey % 50 = 7 then 5.0D else 0.0D end lat",
+        "76.0D + ((c_custkey * 104729) % 2900) * 0.001D lon",
         "case c_custkey % 3 when 0 then 'rain-fed' when 1 then 'irrigated' end regime",
     ).withColumn("tile", tile_of("lat", "lon"))
 
@@ -182,6 +183,12 @@ def crop_cells(spark, sf_dir) -> DataFrame:
     )
 
 
+def tile_catalogue(cells: DataFrame) -> DataFrame:
+    """Tiles with the centre of the box around their cells."""
+    return cells.groupBy("tile").agg(
+        ((F.min("clat") + F.max("clat")) / 2).alias("tile_lat"), ((F.min("clon") + F.max("clon")) / 2).alias("tile_lon"))
+
+
 def land_cover(spark, sf_dir) -> DataFrame:
     """Classified land-cover points (class codes of a global 10 m product)."""
     return table(spark, sf_dir, "part").selectExpr(
@@ -206,7 +213,7 @@ def villages(spark, sf_dir) -> DataFrame:
 def fetch_log(spark, sf_dir) -> DataFrame:
     """Fetch attempts from the event stream: sweep number, outcome message, seconds, attempts."""
     return table(spark, sf_dir, "events").selectExpr(
-        "event_id", "ts", "cast(user_id as string) mws_id", "cast(ts as date) target",
+        "event_id", "cast(ts as timestamp) ts", "cast(user_id as string) mws_id", "cast(ts as date) target",
         "cast(event_id % 3 as int) + 1 sweep_no", "cast(event_id % 4 as int) + 1 attempts",
         "value query_time_s",
         "case when event_type = 'error' then case "
