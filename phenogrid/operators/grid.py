@@ -27,29 +27,30 @@ def step_grid(points: DataFrame, cutoff: str, steps: int) -> DataFrame:
 
 
 def reduce_observations(obs: DataFrame) -> DataFrame:
-    """One row per (location, step) with every per-step statistic, in one scan and one shuffle.
+    """One row per (location, step) with every per-step statistic.
 
     States are means and fluxes unit-converted sums over the step, soil moisture is the mean of
-    its first three days, the index and its quality flag are medians over 16 days, so the first
-    two days of a step also count for the step before. Readings are 16-bit integers, which
-    bounds the value table the exact median keeps; everything else is combined map-side.
+    its first three days; they aggregate in hash tables, combined map-side. The index and its
+    quality flag are medians over 16 days, so the first two days of a step also count for the
+    step before; their exact medians need another kind of aggregate, which gets only its two
+    columns. Readings are 16-bit integers, which bounds the value table a median keeps. Both
+    sides end up hashed on (location, step), so joining them moves nothing.
     """
-    overlap = COMPOSITE_DAYS - STEP_DAYS
-    both = obs.withColumn("_step", F.explode(F.expr(
-        f"case when day_in_step < {overlap} and step > 0 then array(step, step - 1) else array(step) end")))
-    own = F.col("_step") == F.col("step")
-    soil = own & (F.col("day_in_step") < SOIL_DAYS)
-    return both.groupBy("mws_id", F.col("_step").alias("step")).agg(
-        *[F.avg(F.when(own, F.col(c))).alias(c) for c in STATE],
-        *[F.sum(F.when(own, F.col(src) * k)).alias(name) for name, (src, k) in FLUX.items()],
+    soil = F.col("day_in_step") < SOIL_DAYS
+    plain = obs.groupBy("mws_id", "step").agg(
+        *[F.avg(c).alias(c) for c in STATE],
+        *[F.sum(F.col(src) * k).alias(name) for name, (src, k) in FLUX.items()],
         *[F.avg(F.when(soil, F.col(c))).alias(c) for c in SOIL],
-        (F.median("NDVI_raw") * NDVI_SCALE).alias("NDVI"),
-        F.median("SummaryQA").alias("SummaryQA"),
-        (F.count("NDVI_raw") > 0).cast("int").alias("is_real_ndvi"),
         (F.count(F.when(soil, F.col("sm_surface"))) > 0).cast("int").alias("is_real_smap"),
-        (F.count(F.when(own, F.col("temperature_2m"))) > 0).cast("int").alias("is_real_era5"),
-        (F.count(F.when(own, F.col("total_precipitation_m"))) > 0).cast("int").alias("is_real_chirps"),
-    )
+        (F.count("temperature_2m") > 0).cast("int").alias("is_real_era5"),
+        (F.count("total_precipitation_m") > 0).cast("int").alias("is_real_chirps"))
+    overlap = COMPOSITE_DAYS - STEP_DAYS
+    both = obs.select("mws_id", "NDVI_raw", "SummaryQA", F.explode(F.expr(
+        f"case when day_in_step < {overlap} and step > 0 then array(step, step - 1) else array(step) end")).alias("step"))
+    medians = both.groupBy("mws_id", "step").agg(
+        (F.median("NDVI_raw") * NDVI_SCALE).alias("NDVI"), F.median("SummaryQA").alias("SummaryQA"),
+        (F.count("NDVI_raw") > 0).cast("int").alias("is_real_ndvi"))
+    return medians.join(plain, ["mws_id", "step"], "full")
 
 
 def add_coverage(df: DataFrame) -> DataFrame:

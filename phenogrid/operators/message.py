@@ -89,7 +89,8 @@ def render(decided: DataFrame) -> DataFrame:
 def audit(df: DataFrame, text: str = "message") -> DataFrame:
     """``failed_rule``: the first broken faithfulness rule of a text, NULL when it passes."""
     c = F.col
-    low = F.lower(c(text))
+    df = df.withColumn("_low", F.lower(c(text)))
+    low = c("_low")
     says = lambda words: has_any(low, words)
     num = lambda x: F.array(x.cast("string"), F.abs(x).cast("string"))
     allowed = F.concat(F.array(*[F.lit(n) for n in BASE_NUMBERS]), num(c("median_z")), num(c("sd")), num(c("pct_below")), num(c("plot_z")))
@@ -115,7 +116,7 @@ def audit(df: DataFrame, text: str = "message") -> DataFrame:
         (c("small_sample") & ~says(SMALL_SAMPLE_WORDS), "small_sample_dropped"),
         ((rank_of(eff) < rank_of(c("spatial_confidence"))) & ~c("conf_capped") & ~says(QUALITY_WORDS), "quality_reason_dropped"),
     ]
-    return df.withColumn("failed_rule", ladder(rules, F.lit(None).cast("string")))
+    return df.withColumn("failed_rule", ladder(rules, F.lit(None).cast("string"))).drop("_low")
 
 
 # --- requests, notes, errors -------------------------------------------------------------

@@ -40,7 +40,7 @@ def tier_one(sites: DataFrame, cells: DataFrame, villages: DataFrame, k: int = M
         *SITE, "cell_id", "clat", "clon", F.lit(0).alias("_tier"), F.col("_r").cast("double").alias("_order"),
         distance_km("lat", "lon", "clat", "clon").alias("km"))
     near = nearest_k(sites.select(*SITE), SITE, own.withColumnRenamed("tile", "cell_tile"), "cell_id", k, max_km=BUFFER_KM,
-                     start_km=BUFFER_KM, group=["cell_tile"], eligible=F.col("cell_tile") == F.col("tile"))
+                     start_km=BUFFER_KM / 4, group=["cell_tile"], eligible=F.col("cell_tile") == F.col("tile"))
     near = near.select(*SITE, "cell_id", "clat", "clon", F.lit(1).alias("_tier"), F.col("km").alias("_order"), "km")
     # a cell that is both counts once, as a village cell
     both = in_village.unionByName(near).groupBy(*SITE, "cell_id").agg(
@@ -57,10 +57,9 @@ def vegetated(cover: DataFrame) -> DataFrame:
 
 def sampled_vegetation(sites: DataFrame, cover: DataFrame, cap: int = VEGETATION_CAP, seed: int = 1) -> DataFrame:
     """Seeded sample of at most ``cap`` vegetated points around each site (the sampling operator)."""
-    near = nearest_k(sites.select(*SITE), SITE, vegetated(cover), "veg_id", 2**31 - 1, target_at=("vlat", "vlon"),
-                     max_km=VEGETATION_KM, start_km=VEGETATION_KM)
+    near = nearest_k(sites.select(*SITE), SITE, vegetated(cover), "veg_id", None, target_at=("vlat", "vlon"), max_km=VEGETATION_KM)
     draw = Window.partitionBy(*SITE).orderBy(F.xxhash64("veg_id", F.lit(seed)), "veg_id")
-    return near.withColumn("_d", F.row_number().over(draw)).where(F.col("_d") <= cap).drop("_d", "rank")
+    return near.withColumn("_d", F.row_number().over(draw)).where(F.col("_d") <= cap).drop("_d")
 
 
 def tier_two(sites: DataFrame, cells: DataFrame, catalogue: DataFrame, cover: DataFrame, k: int = MIN_POINTS) -> DataFrame:
@@ -104,7 +103,7 @@ def sampling_summary(plots: DataFrame, sites: DataFrame, points: DataFrame, cata
         F.count("*").alias("n_points"), F.bool_or(F.col("kind") == "vegetation").alias("_veg"), F.max("km").alias("_far"), first.alias("_first"))
     none = sites.join(per.select(*SITE), SITE, "left_anti")
     nearest = nearest_k(none.select(*SITE), SITE, catalogue.withColumnRenamed("tile", "cat_tile"), "cat_tile", 1,
-                        target_at=("tile_lat", "tile_lon"), start_km=50.0).select(*SITE, F.bround("km", 1).alias("nearest_km"))
+                        target_at=("tile_lat", "tile_lon"), start_km=20.0).select(*SITE, F.bround("km", 1).alias("nearest_km"))
     out = plots.join(sites, SITE).join(per, SITE, "left").join(nearest, SITE, "left")
     two = F.col("tier") == 2
     veg = two & F.col("_veg")

@@ -15,9 +15,7 @@ from pyspark.sql import functions as F
 from phenogrid.functions.geo import distance_km, in_rings, location_key
 from phenogrid.schema import EARTH_KM
 
-_RATIO = 4.0
 _AXES = ("_x", "_y", "_z")
-_WORLD = math.pi * EARTH_KM
 
 
 def chord(km: float) -> float:
@@ -45,47 +43,67 @@ def _around(df: DataFrame) -> DataFrame:
         {a: F.col(a) + F.col("_d")[d] for a, d in zip(_AXES, ("i", "j", "k"))}).drop("_d")
 
 
-def nearest_k(sites: DataFrame, site_key: list[str], targets: DataFrame, target_id: str, k: int, *,
+def _sizes(start_km: float, max_km: float | None) -> list[float]:
+    """Cube edges, doubling; the last one is at least the search limit (or the whole sphere)."""
+    if max_km is None:
+        sizes = [chord(start_km)]
+        while sizes[-1] < 2.0:
+            sizes.append(sizes[-1] * 2)
+        return sizes
+    top = chord(max_km) * (1 + 1e-9)
+    n = max(1, round(math.log2(max_km / start_km)) + 1)
+    return [top / 2 ** (n - 1 - i) for i in range(n)]
+
+
+def nearest_k(sites: DataFrame, site_key: list[str], targets: DataFrame, target_id: str, k: int | None, *,
               site_at=("lat", "lon"), target_at=("clat", "clon"), max_km: float | None = None,
-              start_km: float = 3.0, group: list[str] = (), eligible=None) -> DataFrame:
+              start_km: float = 1.0, group: list[str] = (), eligible=None) -> DataFrame:
     """The ``k`` nearest eligible targets of every site within ``max_km``; ties by target id.
 
-    Cubes come in sizes growing by four. Counts per cube tell the smallest size whose 27 cubes
-    around a site hold at least k targets; these lie within 2*sqrt(3) edges, so the k nearest
-    lie in the 27 cubes of the next size, and only those are joined. Sites must be distinct
-    positions; ``eligible`` may only use site columns and the ``group`` columns of the targets.
+    Cubes come in doubling sizes. Counts per cube tell the smallest cube around a site that
+    holds k eligible targets by itself; the k-th distance inside it bounds the true one. The
+    27 cubes of the smallest size not below that bound then hold the answer for certain, so
+    the number of pairs follows k, not the density. A site without such a cube searches the
+    largest size. ``k=None`` asks for every target within ``max_km``. Sites must be distinct
+    rows; ``eligible`` may use site columns and the ``group`` columns of the targets.
     """
-    limit = max_km if max_km is not None else _WORLD
-    sizes = [chord(start_km)]
-    while sizes[-1] < chord(limit):
-        sizes.append(min(sizes[-1] * _RATIO, 2.0))
-        if sizes[-1] >= 2.0:
-            break
-    sizes[-1] = max(sizes[-1], chord(limit) * (1 + 1e-9))
+    sizes = _sizes(start_km, max_km)
     top = len(sizes) - 1
     size_of = F.array(*[F.lit(s) for s in sizes])
-    levels = F.explode(F.sequence(F.lit(0), F.lit(top)))
     ok = eligible if eligible is not None else F.lit(True)
-
+    level = F.explode(F.sequence(F.lit(0), F.lit(top)))
     keep = [target_id, *target_at, *group]
-    tgt = targets.select(*keep).withColumn("_l", levels)
-    tgt = tgt.select(*keep, "_l", *_cube(_xyz(*target_at), size_of[F.col("_l")]))
-    site_cols = list(dict.fromkeys([*site_key, *site_at, *[c for c in sites.columns if c in site_key or c in site_at or eligible is not None]]))
-    base = sites.select(*site_cols)
-
-    if top > 0:
-        counts = tgt.where(F.col("_l") < top).groupBy("_l", *_AXES, *group).agg(F.count("*").alias("_n"))
-        tried = base.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(top - 1))))
-        tried = _around(tried.select("*", *_cube(_xyz(*site_at), size_of[F.col("_l")])))
-        enough = tried.join(counts, ["_l", *_AXES]).where(ok).groupBy(*site_key, "_l").agg(F.sum("_n").alias("_n")) \
-            .where(F.col("_n") >= k).groupBy(*site_key).agg(F.min("_l").alias("_first"))
-        search = base.join(enough, site_key, "left").withColumn("_l", F.coalesce(F.col("_first") + 1, F.lit(top))).drop("_first")
+    km = distance_km(*site_at, *target_at)
+
+    at = lambda p: [F.col(f"_{p}{a}") for a in "xyz"]
+    named = lambda xyz, p: [v.alias(f"_{p}{a}") for v, a in zip(xyz, "xyz")]
+    tgt = targets.select(*keep, *named(_xyz(*target_at), "t")).withColumn("_l", level if k is not None else F.lit(top))
+    tgt = tgt.select(*keep, *at("t"), "_l", *_cube(at("t"), size_of[F.col("_l")]))
+    base = sites.select(*dict.fromkeys([*site_key, *site_at]), *named(_xyz(*site_at), "s"))
+    # squared chord from the stored coordinates: no trigonometry per pair
+    apart = sum(((a - b) * (a - b) for a, b in zip(at("s"), at("t"))), F.lit(0.0))
+    limit = sizes[top] if max_km is not None else 2.0
+    if k is None or top == 0:
+        search = base.withColumn("_l", F.lit(top)).withColumn("_reach", F.lit(limit))
     else:
-        search = base.withColumn("_l", F.lit(0))
-    search = _around(search.select("*", *_cube(_xyz(*site_at), size_of[F.col("_l")])))
-    pairs = search.join(tgt, ["_l", *_AXES]).where(ok).withColumn("km", distance_km(*site_at, *target_at))
+        counts = tgt.groupBy("_l", *_AXES, *group).agg(F.count("*").alias("_n"))
+        own = base.withColumn("_l", level)
+        own = own.select(*base.columns, "_l", *_cube(at("s"), size_of[F.col("_l")]))
+        first = own.join(counts, ["_l", *_AXES]).where(ok).groupBy(*site_key, "_l", *_AXES).agg(F.sum("_n").alias("_n")) \
+            .where(F.col("_n") >= k).groupBy(*site_key).agg(F.min(F.struct("_l", *_AXES)).alias("_f")).select(*site_key, "_f.*")
+        kth = Window.partitionBy(*site_key).orderBy("_d2")
+        inside = base.join(first, site_key).join(tgt, ["_l", *_AXES]).where(ok).select(*site_key, apart.alias("_d2"))
+        bound = inside.withColumn("_r", F.row_number().over(kth)).where(F.col("_r") <= k).groupBy(*site_key).agg(F.max("_d2").alias("_d2"))
+        reach = F.least(F.coalesce(F.sqrt("_d2") * (1 + 1e-9) + 1e-12, F.lit(limit)), F.lit(limit))
+        search = base.join(bound, site_key, "left").withColumn("_reach", reach).drop("_d2")
+        fits = F.array_position(F.transform(size_of, lambda s: s >= F.col("_reach")), True) - 1
+        search = search.withColumn("_l", F.when(fits < 0, top).otherwise(fits).cast("int"))
+    search = _around(search.select("*", *_cube(at("s"), size_of[F.col("_l")])))
+    pairs = search.join(tgt, ["_l", *_AXES]).where((apart <= F.col("_reach") * F.col("_reach") * (1 + 1e-9)) & ok).withColumn("km", km)
     if max_km is not None:
         pairs = pairs.where(F.col("km") <= max_km)
+    if k is None:
+        return pairs.select(*site_key, *keep, "km")
     best = Window.partitionBy(*site_key).orderBy("km", target_id)
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         *site_key, *keep, "km", "rank")
@@ -94,7 +112,7 @@ def nearest_k(sites: DataFrame, site_key: list[str], targets: DataFrame, target_
 def nearest_profile(points: DataFrame, profiles: DataFrame, cols: list[str], at=("lat", "lon")) -> DataFrame:
     """``cols`` of the profile nearest to each point, found once per distinct position."""
     sites = points.select(*at).distinct()
-    near = nearest_k(sites, list(at), profiles, "mws_id", 1, site_at=at, target_at=("latitude", "longitude"), start_km=30.0)
+    near = nearest_k(sites, list(at), profiles, "mws_id", 1, site_at=at, target_at=("latitude", "longitude"))
     near = near.select(*at, "mws_id", F.col("km").alias("profile_km"))
     found = near.join(profiles.select("mws_id", *[c for c in cols if c != "mws_id"]), "mws_id")
     return points.join(found, list(at))

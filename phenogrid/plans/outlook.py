@@ -11,6 +11,7 @@ from phenogrid.plans import features as fplan
 from phenogrid.plans import panel as pplan
 from phenogrid.plans import spatial as splan
 from phenogrid.plans.registry import query
+from phenogrid.session import materialise
 from phenogrid.sources import tables as t
 
 ANCHOR_STEPS = (100, 125, 150)
@@ -26,9 +27,14 @@ def requests(spark, d) -> DataFrame:
     return t.locations(spark, d).withColumn("anchor", F.explode(anchors)).withColumn("target", F.date_add("anchor", 98))
 
 
-def scored_points(spark, d) -> DataFrame:
+def history(spark, d) -> DataFrame:
+    """The index history as a stored table: baselines, persistence, views and trends all read it."""
+    return materialise(panel(spark, d).select("mws_id", "date", "NDVI", "SummaryQA", F.lit(1).alias("is_real_ndvi")), "history")
+
+
+def scored_points(spark, d, p: DataFrame | None = None) -> DataFrame:
     """Persistence forecast and its anomaly for every location and anchor."""
-    p = panel(spark, d)
+    p = history(spark, d) if p is None else p
     df = forecast.persistence(requests(spark, d), p, "anchor").withColumnRenamed("current", "forecast")
     return anomaly.indicators(anomaly.seasonal_baseline(df, p))
 
@@ -88,13 +94,13 @@ def h06(spark, d):
 
 @query("h07_recent_anomalies")
 def h07(spark, d):
-    out = anomaly.recent_anomalies(requests(spark, d), panel(spark, d), "anchor")
+    out = anomaly.recent_anomalies(requests(spark, d), history(spark, d), "anchor")
     return out.select("mws_id", "anchor", F.posexplode("recent").alias("pos", "anomaly")).withColumn("anomaly", rounded("anomaly"))
 
 
 @query("h08_trend")
 def h08(spark, d):
-    out = anomaly.recent_anomalies(requests(spark, d), panel(spark, d), "anchor")
+    out = anomaly.recent_anomalies(requests(spark, d), history(spark, d), "anchor")
     return out.select("mws_id", "anchor", anomaly.trend(F.col("recent")).alias("trend"))
 
 
@@ -102,7 +108,7 @@ def h08(spark, d):
 @query("j01_area_outlook")
 def j01(spark, d):
     """District outlook: point anomalies to area labels, with the district's first location as plot."""
-    pts = scored_points(spark, d)
+    pts = materialise(scored_points(spark, d), "points")
     out = area.summarise(pts, ["district", "anchor"], bounded=False)
     first = pts.where("z is not null").groupBy("district", "anchor").agg(F.min_by("z", "loc_no").alias("plot_z"))
     out = out.join(first, ["district", "anchor"]).withColumn(
@@ -112,9 +118,9 @@ def j01(spark, d):
 
 def facts(spark, d) -> DataFrame:
     """One advisory request per location and anchor: own z, the district as area, quality and trend."""
-    pts = scored_points(spark, d).where("z is not null")
+    src = history(spark, d)
+    pts = materialise(scored_points(spark, d, src).where("z is not null"), "points")
     areas = area.summarise(pts, ["district", "anchor"], bounded=False)
-    src = panel(spark, d).select("mws_id", "date", "NDVI", "SummaryQA", F.lit(1).alias("is_real_ndvi"))
     req = requests(spark, d).select("mws_id", "anchor")
     views = quality.clear_view(req, src, "anchor", window=12).select("mws_id", "anchor", "clear_view")
     trends = anomaly.recent_anomalies(req, src, "anchor").select("mws_id", "anchor", anomaly.trend(F.col("recent")).alias("trend"))
@@ -218,7 +224,8 @@ def altered_messages(spark, d) -> DataFrame:
         F.regexp_replace(m, "(?i)irrigated", "watered"), F.concat(m, F.lit("\nIf rain-fed, mulch; if irrigated, ration.")),
         F.concat(m, F.lit(" (high confidence)")), F.regexp_replace(m, "few|small sample", "some"),
         F.lit("Vegetation outlook: nothing to report, one opinion"))
-    return message.render(decided(spark, d)).withColumn("variants", variants).select("*", F.posexplode("variants").alias("variant", "text"))
+    stored = materialise(message.render(decided(spark, d)), "messages")
+    return stored.withColumn("variants", variants).select("*", F.posexplode("variants").alias("variant", "text"))
 
 
 @query("j14_message_audit")
@@ -288,12 +295,12 @@ def a06(spark, d):
 def plot_advisory(spark, d):
     """Plots to messages: sampling, nearest histories, anomalies, decision, message and note."""
     tasks, summary = splan.forecast_tasks(spark, d)
-    z = scored_points(spark, d).where(F.col("anchor") == F.expr(f"date_add(date'{t.EPOCH}', {14 * ANCHOR_STEPS[1]})")).select("mws_id", "anchor", "target", "z")
-    placed = tasks.join(z, "mws_id").where("z is not null")
+    src = history(spark, d)
+    z = scored_points(spark, d, src).where(F.col("anchor") == F.expr(f"date_add(date'{t.EPOCH}', {14 * ANCHOR_STEPS[1]})")).select("mws_id", "anchor", "target", "z")
+    placed = materialise(tasks.join(z, "mws_id").where("z is not null"), "placed")
     own = placed.where("ord = 0").select("plot_id", "mws_id", "anchor", "target", F.col("z").alias("plot_z"))
     areas = area.summarise(placed.where("ord > 0"), ["plot_id"])
     req = own.select("mws_id", "anchor").distinct()
-    src = panel(spark, d).select("mws_id", "date", "NDVI", "SummaryQA", F.lit(1).alias("is_real_ndvi"))
     views = quality.clear_view(req, src, "anchor").select("mws_id", "clear_view")
     trends = anomaly.recent_anomalies(req, src, "anchor").select("mws_id", anomaly.trend(F.col("recent")).alias("trend"))
     f = own.join(areas.drop("small_sample"), "plot_id").join(summary.drop("n_points", "tile"), "plot_id").join(views, "mws_id").join(trends, "mws_id")

@@ -74,17 +74,18 @@ def grid(spark, sf_dir) -> DataFrame:
 
 def source_panel(spark, sf_dir) -> DataFrame:
     """The panel as it is read from storage: source column names, sentinels and gaps."""
-    agg = observations(spark, sf_dir).groupBy("mws_id", "step").agg(
+    obs = observations(spark, sf_dir)
+    sums = obs.groupBy("mws_id", "step").agg(
         F.count("*").alias("n_obs"),
-        (F.median("NDVI_raw") * 0.0001).alias("NDVI"),
         F.sum(F.col("total_precipitation_m") * 1000).alias("total_precipitation_sum"),
         F.sum(F.col("runoff_m") * 1000).alias("runoff_sum"),
         F.when(F.count("*") == 1, -9999.0).otherwise(F.sum(F.col("evaporation_m") * -1000))
         .alias("total_evaporation_sum"),
         *[F.avg(c).alias(c) for c in (
-            "temperature_2m", "dewpoint_temperature_2m", *WIND, *RADIATION, "sm_surface", "sm_rootzone")],
-        F.median("SummaryQA").alias("SummaryQA"),
-    )
+            "temperature_2m", "dewpoint_temperature_2m", *WIND, *RADIATION, "sm_surface", "sm_rootzone")])
+    medians = obs.groupBy("mws_id", "step").agg(
+        (F.median("NDVI_raw") * 0.0001).alias("NDVI"), F.median("SummaryQA").alias("SummaryQA"))
+    agg = sums.join(medians, ["mws_id", "step"])
     loc = locations(spark, sf_dir)
     # a tenth of the locations, one district and one state have no surface-soil series at all
     no_soil = (F.col("loc_no") % 10 == 0) | (F.col("district") == "3") | (F.col("state") == "4")
