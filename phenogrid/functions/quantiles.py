@@ -6,7 +6,8 @@ district, a state or the whole panel. Here a bounded sketch first brackets the w
 and only the values inside the bracket are ordered, so no task ever sees a whole group:
 
 1. ``percentile_approx`` per group (bounded memory, merged map-side) gives a value range that
-   contains the wanted rank for certain, since its rank error is below n / ACCURACY;
+   contains the wanted rank for certain, since its rank error is below n / ACCURACY; the ranges
+   are stored, counted, and broadcast only if they are few, so the values need no shuffle;
 2. one more pass counts, map-side, the values under the range and the distinct values in it;
 3. a running sum over those few distinct values finds the exact ranks.
 """
@@ -16,7 +17,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from phenogrid.session import cut_lineage
+
 ACCURACY = 10000
+# brackets are a few numbers per group: up to this many groups (some 20 MB) they are broadcast
+BROADCAST_GROUPS = 200_000
 _MARGIN = 3.0 / ACCURACY
 
 
@@ -31,6 +36,11 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     sketch = vals.groupBy(*keys).agg(
         F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         F.percentile_approx("_v", [float(p) for p in points], ACCURACY).alias("_q"))
+    if keys:
+        sketch = cut_lineage(sketch)
+        small_enough = sketch.count() <= BROADCAST_GROUPS
+    else:
+        small_enough = True
     # up to ACCURACY values a group is ordered as it is; above, the margin covers at least two ranks
     small = F.col("_n") <= ACCURACY
     brackets = sketch.select(
@@ -39,14 +49,15 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         *[F.when(small, F.col("_max")).otherwise(F.col("_q")[2 * i + 1]).alias(f"_hi{i}") for i in range(len(names))])
     out = None
     for i, name in enumerate(names):
-        part = _rank_inside(vals, brackets, keys, i, name, probs[name])
+        part = _rank_inside(vals, brackets, keys, i, name, probs[name], small_enough)
         out = part if out is None else (out.join(part, keys) if keys else out.crossJoin(F.broadcast(part)))
     return out
 
 
-def _rank_inside(vals, brackets, keys, i, name, prob):
+def _rank_inside(vals, brackets, keys, i, name, prob, small_enough):
     b = brackets.select(*keys, "_n", F.col(f"_lo{i}").alias("_lo"), F.col(f"_hi{i}").alias("_hi"))
-    joined = vals.join(b, keys) if keys else vals.crossJoin(F.broadcast(b))
+    b = F.broadcast(b) if small_enough else b
+    joined = vals.join(b, keys) if keys else vals.crossJoin(b)
     counted = (
         joined.where(F.col("_v") <= F.col("_hi"))
         .select(*keys, "_n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"))

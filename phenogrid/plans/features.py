@@ -35,11 +35,11 @@ def build_features(panel: DataFrame) -> DataFrame:
 
 
 def stored_panel(spark, d) -> DataFrame:
-    return materialise(split_panel(spark, d), "panel")
+    return materialise(split_panel(spark, d), "panel", bucket="mws_id")
 
 
 def stored_features(spark, d) -> DataFrame:
-    return materialise(build_features(stored_panel(spark, d)), "features")
+    return materialise(build_features(stored_panel(spark, d)), "features", bucket="mws_id")
 
 
 def scaled_features(spark, d) -> DataFrame:

@@ -54,16 +54,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder for tables written and read back."""
-    return f"{shared_dir(spark).rstrip('/')}/phenogrid-{name}-{uuid.uuid4().hex}"
+    """A fresh path in the application's own folder under the shared one.
+
+    The whole ``phenogrid-<application id>`` folder may be deleted once the application is over.
+    """
+    app = spark.sparkContext.applicationId
+    return f"{shared_dir(spark).rstrip('/')}/phenogrid-{app}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, bucket: str | None = None) -> DataFrame:
     """Write ``df`` once as a columnar table in the shared folder and read it back.
 
     For frames that several later steps scan with different column subsets: unlike a
-    checkpoint, the copy can be pruned and filtered by the scan.
+    checkpoint, the copy can be pruned and filtered by the scan. With ``bucket`` the rows are
+    hashed into as many buckets as there are shuffle partitions, so later windows, aggregates
+    and joins on that column need no exchange. Use it where rows per key are bounded (a panel).
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    if bucket is None:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    # hashed like the buckets, so every task writes one file
+    df.repartition(n, bucket).write.format("parquet").option("path", path).bucketBy(n, bucket).saveAsTable(table)
+    return spark.table(table)
