@@ -29,6 +29,17 @@ def test_exact_quantiles_with_a_hot_group(spark):
     assert whole == pytest.approx(pdf.v.quantile(0.5), abs=1e-9)
 
 
+@pytest.mark.parametrize("limit", [5, 200])
+def test_quantile_ranges_are_narrowed(spark, limit):
+    """Ranges with more distinct values than may be ordered shrink without losing the rank."""
+    df = spark.range(40000).select(
+        F.when(F.col("id") % 4 == 0, "ties").when(F.col("id") % 4 == 1, "small_steps").otherwise("hot").alias("g"),
+        F.when(F.col("id") % 8 == 0, 2.0).otherwise(F.pmod(F.col("id") * 7919, F.lit(39989)) / 13.0).alias("v"))
+    got = {r.g: (r.m, r.p, r.z) for r in exact_quantiles(df, ["g"], "v", {"m": 0.5, "p": 0.9, "z": 0.0}, ordered_values=limit).collect()}
+    for g, sub in df.toPandas().groupby("g"):
+        assert got[g] == pytest.approx(tuple(sub.v.quantile([0.5, 0.9, 0.0])), abs=1e-9), g
+
+
 def test_exact_quantiles_of_nothing(spark):
     empty = spark.createDataFrame([], "g string, v double")
     assert exact_quantiles(empty, ["g"], "v", {"m": 0.5}).count() == 0
