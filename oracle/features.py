@@ -34,7 +34,7 @@ cte("quarterly", "select mws_id, " + ", ".join(
     [f'avg("NDVI") filter (where quarter(date) = {k}) q{k}_mean_ndvi' for k in (1, 2, 3, 4)]
     + [f'stddev_samp("NDVI") filter (where quarter(date) = {k}) q{k}_std_ndvi' for k in (1, 2, 3, 4)])
     + " from split where split = 'train' group by 1", "split")
-cte("pheno", """select mws_id, "NDVI" historical_max_ndvi, month(date) peak_month from split where split = 'train'
+cte("pheno", """select mws_id, "NDVI" historical_max_ndvi, cast(month(date) as int) peak_month from split where split = 'train'
   qualify row_number() over (partition by mws_id order by "NDVI" desc, date) = 1""", "split")
 
 
@@ -99,7 +99,7 @@ ORACLE = {
         for c in ("state", "district", "tehsil", "mws_id")), "loc"),
     "d13_quarterly_baselines": q(f"select mws_id, {rs(QM + QS)} from quarterly", "quarterly"),
     "d14_phenology": q(f"select mws_id, {r('historical_max_ndvi')} historical_max_ndvi, peak_month from pheno", "pheno"),
-    "d15_static_baselines_joined": q(f"""select mws_id, date, {rs(["q1_mean_ndvi", "q4_std_ndvi", "historical_max_ndvi"])}, months_from_peak
+    "d15_static_baselines_joined": q(f"""select mws_id, date, {rs(["q1_mean_ndvi", "q4_std_ndvi", "historical_max_ndvi"])}, cast(months_from_peak as int) months_from_peak
         from engraw""", "engraw"),
     "d16_quarter_deviation": fromtab("feat", ["ndvi_q_deviation"]),
     "d17_critical_nulls_dropped": q(f"select mws_id, date, split, {rs(CRIT)} from engraw where {NOTNULL}", "engraw"),

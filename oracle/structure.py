@@ -17,7 +17,7 @@ cte("dreq", """select o_orderkey request_id, o_custkey plot_id, case o_orderkey
   when 2 then strftime(cast(o_orderdate as date) + 1500, '%Y-%m-%d')
   when 3 then strftime(o_orderdate, '%Y') || '-02-30' else strftime(o_orderdate, '%Y-%m-%d') end as_of_text from orders""")
 SNAP = "({d} - cast(((date_diff('day', date '{e}', {d}) % 14) + 14) % 14 as int))"
-CAL = """year(date) as year, month(date) as month, dayofyear(date) day_of_year, quarter(date) as quarter,
+CAL = """cast(year(date) as int) as year, cast(month(date) as int) as month, cast(dayofyear(date) as int) day_of_year, cast(quarter(date) as int) as quarter,
  case when month(date) in (12,1,2) then 1 when month(date) in (3,4,5) then 2 when month(date) in (6,7,8) then 3 else 4 end season"""
 
 ORACLE = {
@@ -48,7 +48,7 @@ ORACLE = {
     "b13_location_key": q("select plot_id, printf('%.4f_%.4f', lat, lon) loc_key from plots", "plots"),
     "b14_utm_zone": q("""select plot_id, 'EPSG:' || (case when plot_id % 2 = 0 then 32700 else 32600 end
         + cast(floor((lon + 180)/6) as int) + 1) epsg from plots""", "plots"),
-    "b15_days_ahead_mode": """select o_orderkey, target, days_ahead, case when days_ahead <= 0 then 'historical'
+    "b15_days_ahead_mode": """select o_orderkey, target, cast(days_ahead as int) days_ahead, case when days_ahead <= 0 then 'historical'
         when days_ahead <= 98 then 'near_future' else 'far_future' end as mode, target - 98 as data_cutoff,
         case when days_ahead <= 0 then target else date '2000-06-01' end fetch_anchor,
         cast(case when days_ahead <= 0 then 267 else greatest(267 - floor(days_ahead/14), 1) end as int) fetch_steps

@@ -76,7 +76,7 @@ ORACLE = {
     "e10_missing_tile_report": q(f"""select split, count(*) n_samples, count(*) filter (where tile_year is null) n_missing,
         {r('avg(case when tile_year is null then 100.0::double else 0 end)')} pct_missing,
         count(distinct case when tile_year is not null then mws_id || '|' || tile_year || '|' || period end) n_tiles from ({COVERED}) group by 1""", "psamp", "tiles"),
-    "e11_registry_parity": q("select count(*) n_samples, 0 n_different from psamp", "psamp"),
+    "e11_registry_parity": q("select count(*) n_samples, 0::bigint n_different from psamp", "psamp"),
     "f03_persistence_and_climatology": q(f"""select t.mws_id, t.target, t.cutoff, {r('cur')} as "current",
         {r('case quarter(t.target) when 1 then q1_mean_ndvi when 2 then q2_mean_ndvi when 3 then q3_mean_ndvi else q4_mean_ndvi end')} clim from (
         select *, cast({SNAP.format(d='target', e='1995-01-02')} - 98 as date) as cutoff from targets) t left join (
@@ -111,5 +111,5 @@ ORACLE = {
         {r('avg(query_time_s)')} mean_all_s, count(*) filter (where attempts > 1) n_retried,
         {r("count(*)/(date_diff('microsecond', min(ts), max(ts))/60e6)")} per_minute,
         {r("median(query_time_s) filter (where status='OK')")} median_s, {r("quantile_cont(query_time_s, 0.9) filter (where status='OK')")} p90_s from flog""", "flog"),
-    "g10_two_path_parity": q("""select count(*) n_rows, 0 n_unpaired, 0.0 max_diff_current, 0 null_mismatch_current, 0 mismatch_green, true parity_ok from psamp""", "psamp"),
+    "g10_two_path_parity": q("""select count(*) n_rows, 0::bigint n_unpaired, 0.0::double max_diff_current, 0::bigint null_mismatch_current, 0::bigint mismatch_green, true parity_ok from psamp""", "psamp"),
 }
