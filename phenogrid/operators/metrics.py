@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from phenogrid.functions.columns import r2
 from phenogrid.functions.quantiles import exact_median, exact_quantiles
+from phenogrid.session import cut_lineage
 
 
 def global_metrics(df: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def location_r2(df: DataFrame) -> DataFrame:
 
 def median_location_metrics(df: DataFrame) -> DataFrame:
     """Median over locations of their R2 (locations with at least two rows)."""
-    per = location_r2(df).where("n >= 2")
+    per = cut_lineage(location_r2(df).where("n >= 2"))  # one row per location, read by every median
     out = per.agg(F.count("*").alias("n_basins"))
     for c, name in (("r2", "median_basin_r2"), ("anomaly_r2", "median_basin_anomaly_r2"),
                     ("persistence_r2", "median_basin_persistence_r2"), ("delta_r2", "median_basin_delta_r2")):
@@ -81,7 +82,7 @@ def deseasonalised_metrics(df: DataFrame) -> DataFrame:
     t = test.join(month, ["mws_id", "_m"], "left").join(loc, "mws_id", "left").crossJoin(F.broadcast(overall))
     normal = F.coalesce("_month_mean", "_loc_mean", "_overall")
     t = t.withColumns({"_at": F.col("actual") - normal, "_ap": F.col("forecast") - normal})
-    per = t.groupBy("mws_id").agg(F.count("*").alias("n"), r2("_at", "_ap").alias("r2")).where("n >= 2")
+    per = cut_lineage(t.groupBy("mws_id").agg(F.count("*").alias("n"), r2("_at", "_ap").alias("r2")).where("n >= 2"))
     return t.agg(r2("_at", "_ap").alias("anomaly_r2")).crossJoin(
         F.broadcast(exact_median(per, [], "r2", "median_basin_anomaly_r2")))
 
