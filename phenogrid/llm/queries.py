@@ -4,11 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from phenogrid.llm import simhash
+from phenogrid.llm import decontaminate, pii, quality_lines, sharding, simhash
 from phenogrid.llm.registry import query, table
+from phenogrid.session import scratch_path
 
 
 @query("op1_simhash")
 def op1(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op2_sharding", sharding.SQL)
+def op2(spark, sf_dir):
+    """Writes the documents into their shards and reads the placement back from the files."""
+    placed = sharding.place(table(spark, sf_dir, "documents"), sharding.document_key(), sharding.shard_names())
+    path = scratch_path(spark, "shards")
+    sharding.write_shards(placed, path)
+    return spark.read.schema(placed.schema).parquet(path).select("doc_id", "slot", "shard")
+
+
+@query("op4_decontaminate", decontaminate.SQL)
+def op4(spark, sf_dir):
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    c = F.col("contamination")
+    return found.select(
+        "doc_id", c["n_words"].alias("n_words"), c["n_hit"].alias("n_hit"), F.size(c["item_ids"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(c["item_ids"], ","), 256).alias("items_sha256"), (c["n_hit"] > 0).alias("contaminated"))
+
+
+@query("op9_line_frequency", quality_lines.SQL)
+def op9(spark, sf_dir):
+    return quality_lines.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op10_pii")
+def op10(spark, sf_dir):
+    found = table(spark, sf_dir, "documents").select("doc_id", pii.find_spans(F.col("text")).alias("spans"))
+    of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+    return found.select(
+        "doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
