@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from phenogrid.llm import decontaminate, pii, quality_lines, sharding, simhash
+from phenogrid.llm import decontaminate, html_text, pii, quality_lines, sharding, simhash, toxicity
 from phenogrid.llm.registry import query, table
 from phenogrid.session import scratch_path
 
@@ -47,3 +47,17 @@ def op10(spark, sf_dir):
     return found.select(
         "doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in pii.BASE],
         F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
+@query("op6_html_text")
+def op6(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text")
+
+
+@query("op7_toxicity")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    part = toxicity.in_part("doc_id", 5)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), may_learn=part != 0)
+    return toxicity.score(docs, model).select(
+        "doc_id", (part == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
