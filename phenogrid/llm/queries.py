@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from phenogrid.llm import decontaminate, html_text, pii, quality_lines, sharding, simhash, toxicity
+from phenogrid.llm import decontaminate, html_text, pii, quality_lines, sharding, simhash, token_files, toxicity
 from phenogrid.llm.registry import query, table
 from phenogrid.session import scratch_path
 
@@ -61,3 +62,12 @@ def op7(spark, sf_dir):
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), may_learn=part != 0)
     return toxicity.score(docs, model).select(
         "doc_id", (part == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op3_token_files")
+def op3(spark, sf_dir):
+    """Encodes the documents into a token store and reads every document back from its files."""
+    path = scratch_path(spark, "tokens")
+    token_files.write_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read_store(spark, path).select(
+        "doc_id", "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))

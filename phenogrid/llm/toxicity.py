@@ -175,8 +175,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     held = rows.where(curve_row).select("_toxic", _evidence(value)("_text").alias("x")).dropna().toPandas()
     if held["_toxic"].nunique() == 2:
         y = held["_toxic"].to_numpy(float)
-        # the classes are drawn at different rates; weights give them their own shares back
-        weight = np.where(y == 1, max(1.0, sizes[1] / per_class), max(1.0, sizes[0] / per_class))
+        # halfway between the classes' own shares and equal ones: missing a toxic text weighs more than its share
+        weight = np.where(y == 1, (sizes[1] / y.sum()) * (sizes[0] / sizes[1]) ** 0.5, sizes[0] / (1 - y).sum())
+        weight *= len(y) / weight.sum()
         model.slope, model.offset = _curve(held["x"].to_numpy(float), y, weight)
     else:
         model.slope, model.offset = 10.0, -2.0
