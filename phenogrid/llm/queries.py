@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from phenogrid.llm import decontaminate, html_text, pii, quality_lines, sharding, simhash, token_files, toxicity
+from phenogrid.llm import byte_bpe, decontaminate, html_text, pii, quality_lines, sharding, simhash, token_files, toxicity
 from phenogrid.llm.registry import query, table
 from phenogrid.session import scratch_path
 
@@ -71,3 +71,13 @@ def op3(spark, sf_dir):
     token_files.write_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return token_files.read_store(spark, path).select(
         "doc_id", "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
+
+
+@query("op8_byte_bpe")
+def op8(spark, sf_dir):
+    coded = byte_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = F.col("bpe.token_ids")
+    return coded.select(
+        "doc_id", F.size(ids).cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(F.col("bpe.decoded"), 256).alias("decoded_sha256"))
