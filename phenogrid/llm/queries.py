@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from phenogrid.llm import byte_bpe, decontaminate, html_text, pii, quality_lines, sharding, simhash, token_files, toxicity
+from phenogrid.llm import byte_bpe, decontaminate, html_text, katz, pii, quality_lines, sharding, simhash, token_files, toxicity
 from phenogrid.llm.registry import query, table
 from phenogrid.session import scratch_path
 
@@ -81,3 +81,10 @@ def op8(spark, sf_dir):
         "doc_id", F.size(ids).cast("long").alias("n_tokens"),
         F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(F.col("bpe.decoded"), 256).alias("decoded_sha256"))
+
+
+@query("op5_katz")
+def op5(spark, sf_dir):
+    part = toxicity.in_part("doc_id", 10)
+    found = katz.score(table(spark, sf_dir, "documents"), part != 0)
+    return found.select("doc_id", (part == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
