@@ -107,16 +107,21 @@ def _blocks(batches):
 def good_turing(of_count: list[float], kept: int = KEPT) -> np.ndarray:
     """Discounts d_0..d_kept from the numbers of types with counts 1..kept+1; d_0 isn't used.
 
-    Where the statistics give no discount between 0 and 1 for some count, half an event is taken
-    off every count up to ``kept`` instead.
+    Where these numbers as they are give no discount between 0 and 1 for some count (small or
+    copied corpora), they are smoothed by a line through their logarithms, as simple Good-Turing
+    does, which makes d_r a power of 1 + 1/r; and if that line isn't steep enough for a discount,
+    half an event is taken off each count.
     """
-    n = [0.0, *of_count]
-    plain = np.array([1.0] + [(r - 0.5) / r for r in range(1, kept + 1)])
-    if min(n[1:kept + 2], default=0) <= 0:
-        return plain
-    tail = (kept + 1) * n[kept + 1] / n[1]
-    d = [1.0] + [((r + 1) * n[r + 1] / (r * n[r]) - tail) / (1 - tail) if tail < 1 else 0 for r in range(1, kept + 1)]
-    return np.array(d) if all(0 < x < 1 for x in d[1:]) else plain
+    n = np.array([0.0, *of_count])
+    r = np.arange(1, kept + 1)
+    if (n[1:] > 0).all():
+        tail = (kept + 1) * n[kept + 1] / n[1]
+        d = ((r + 1) * n[2:] / (r * n[1:-1]) - tail) / (1 - tail) if tail < 1 else np.zeros(kept)
+        if ((d > 0) & (d < 1)).all():
+            return np.append(1.0, d)
+    there = np.flatnonzero(n > 0)
+    slope = np.polyfit(np.log(there), np.log(n[there]), 1)[0] if len(there) > 1 else 0.0
+    return np.append(1.0, (1 + 1 / r) ** (slope + 1) if slope < -1 else (r - 0.5) / r)
 
 
 @dataclass
@@ -301,7 +306,7 @@ def _together(uni, rest):
         u: Unigrams = uni.value
         logs = np.log10(rest.value[0][1:])
         own = _unpack(rows["data"][rows["kind"] == "text"].iloc[0])
-        score = own["direct"].copy()
+        score = own["direct"].astype(float)
         # the parts in a fixed order: sums of doubles then don't depend on how rows arrive
         parts = rows[rows["kind"] == "part"].sort_values("bucket", na_position="last", kind="stable")
         for data in parts["data"]:
@@ -311,7 +316,7 @@ def _together(uni, rest):
                 score[x["doc"]] += x["low"] @ logs
         return pd.DataFrame({
             "doc_id": pd.array(own["ids"], dtype="Int64"), "learned": own["learn"], "n_tokens": own["n"], "n_known": own["known"],
-            "train_tokens": u.total, "base_score": own["base"], "score": score})
+            "train_tokens": u.total, "base_score": own["base"].astype(float), "score": score})
     return run
 
 
