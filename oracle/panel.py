@@ -216,7 +216,7 @@ ORACLE = {
         from (select t.mws_id, t.target cutoff, count(h.mws_id) n, count("SummaryQA") nq, avg(case when "SummaryQA" <= 1 then 1.0::double else 0 end) clear,
          avg(is_real_ndvi) avail from targets t left join (select t.mws_id, t.target, h.is_real_ndvi,
           case when cast(h.mws_id as bigint) % 5 <> 2 then h."SummaryQA" end "SummaryQA", row_number() over (partition by t.mws_id, t.target order by h.date desc) k
-          from targets t join hist h on h.mws_id = t.mws_id and h.date <= t.target and h.step >= 30) h
+          from targets t join hist h on h.mws_id = t.mws_id and h.date <= t.target) h
          on h.mws_id = t.mws_id and h.target = t.target and h.k <= 24 group by 1,2)""", "targets", "hist"),
     "c35_clear_view_estimate": q(f"""select mws_id, anchor, case when stale is null then prior else round_even(greatest(prior - 0.12::double*stale, 0), 3) end clear_estimate
         from (select mws_id, anchor, {STALE} stale, list_value(0.90, 0.90, 0.88, 0.85, 0.80, 0.55, 0.45, 0.45, 0.55, 0.65, 0.65, 0.85)[month(anchor)]::double prior from stale)""", "stale"),

@@ -15,7 +15,7 @@ def samples(src, extra=""):
 from oracle.features import DYNAMIC  # noqa: E402
 
 cte("psamp", samples("split"), "split")
-cte("ssamp", samples("scaled", f""", count(*) {W} {HISTF}) n_history, sum(rowsum) {W} {HISTF}) history_sum""").replace(
+cte("ssamp", samples("scaled", f""", count(*) {W} {HISTF}) n_history, sum(rowsum) {W} {HISTF}) history_sum, lag("NDVI", 30) {W}) first_ndvi""").replace(
     "from scaled)", "from (select *, " + " + ".join(f'"{c}"' for c in DYNAMIC) + " rowsum from scaled))"), "scaled")
 cte("half", """select distinct mws_id, tile_year, case when period <= 'Q2' then 'H1' else 'H2' end period from tiles
   where (cast(mws_id as int) + tile_year) % 3 <> 0""", "tiles")
@@ -52,7 +52,28 @@ BW = f"""select mws_id, n, r2, cast(rank as int) rank, label from (
 cte("per", f"select mws_id, n, r2 from ({PERLOC.format(src='scored')}) where n >= 11 and spread > 0", "scored")
 cte("bw", BW, "per")
 
+def seeded(*cols):
+    """The first 15 hex digits of the md5 of the columns and the seed."""
+    return f"md5(concat_ws('|', {', '.join(f'cast({c} as varchar)' for c in cols)}, '42'))[1:15]"
+
+
+def share(*cols):
+    return f"(cast(('0x' || {seeded(*cols)})::bigint as double) / {float(16 ** 15)!r}::double)"
+
+
+TILE = ("mws_id", "tile_year", "period")
+cte("resolved", f"select * from ({walk(QP, 'tiles')}) where tile_year is not null", "psamp", "tiles")
+
 ORACLE = {
+    "e12_tile_grouped_sampling": q(f"""select cast(floor(pos/8) as int) batch, mws_id, tile_year, period, target_date, cast(k as int) slot
+        from (select *, row_number() over (partition by mws_id, tile_year, period order by {seeded(*TILE, 'target_date')}, target_date) k from resolved)
+        join (select *, row_number() over (order by {seeded(*TILE)}, mws_id, tile_year, period) - 1 pos from (select distinct mws_id, tile_year, period from resolved))
+        using (mws_id, tile_year, period) where k <= 4""", "resolved"),
+    "e13_random_evaluation_set": q(f"""select mws_id, {r('latitude')} latitude, {r('longitude')} longitude, cast(draw as int) draw,
+        cast(date '1998-01-01' + cast(floor({share('mws_id', 'draw')} * 1001) as int) as date) target
+        from (select * from loc order by {seeded('mws_id')}, mws_id limit 50), range(1, 11) t(draw)""", "loc"),
+    "e14_history_masking": q(f"""select mws_id, date target_date, {share('mws_id', 'date')} < 0.15::double masked,
+        case when {share('mws_id', 'date')} < 0.15::double then 0 else {r('first_ndvi')} end first_ndvi, {r('current_ndvi')} last_ndvi from ssamp""", "ssamp"),
     "e01_split_safe_samples": q(f"""select mws_id, date target_date, split, history_start, history_end, cast(n_history as int) n_history, {r('"NDVI"')} target,
         {r('history_sum')} history_sum, {r('current_ndvi')} last_ndvi from ssamp""", "ssamp"),
     "e02_lead_aggregates": q(f"select mws_id, date target_date, {r('fps')} forecast_precip_sum, {r('ftm')} forecast_temp_mean from ssamp", "ssamp"),

@@ -75,3 +75,13 @@ def r2(truth, pred) -> Column:
     ss_tot = F.var_pop(t) * F.count(t)
     return F.when(F.count(t) >= 2, F.when(ss_tot > 0, 1 - F.try_divide(ss_res, ss_tot))
                   .otherwise(F.when(ss_res == 0, 1.0).otherwise(0.0)))
+
+
+def seeded_hash(seed: int, *cols: str) -> Column:
+    """The first 15 hex digits of the md5 of the columns and the seed: the same in every engine."""
+    return F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in cols], F.lit(str(seed)))), 1, 15)
+
+
+def seeded_share(seed: int, *cols: str) -> Column:
+    """A number from 0 to 1 drawn by the columns and the seed."""
+    return F.conv(seeded_hash(seed, *cols), 16, 10).cast("double") / float(16 ** 15)

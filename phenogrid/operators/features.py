@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +14,10 @@ from phenogrid.session import cut_lineage
 
 def fit_radiation_clip(train: DataFrame) -> DataFrame:
     """One row: the 99th percentile of each radiation column."""
-    parts = [exact_quantiles(train, [], c, {f"{c}_cap": 0.99}) for c in RADIATION]
-    return cut_lineage(reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts))
+    stacked = train.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("value")) for c in RADIATION])).alias("x")).select("x.col", "x.value")
+    caps = exact_quantiles(stacked, ["col"], "value", {"cap": 0.99})
+    return cut_lineage(caps.agg(*[F.max(F.when(F.col("col") == c, F.col("cap"))).alias(f"{c}_cap") for c in RADIATION]))
 
 
 def clip_radiation(df: DataFrame, caps: DataFrame) -> DataFrame:

@@ -61,15 +61,11 @@ def requeue(log: DataFrame) -> DataFrame:
 
 def throttle_report(log: DataFrame, workers: int = 13) -> DataFrame:
     """Throttles, dropped points and the suggested concurrency per request."""
+    suggested = max(2, workers // 2)
     per = log.groupBy("mws_id", "target").agg(
         F.count("*").alias("n_points"), F.count_if(is_rate_limit(F.col("status"))).alias("throttles"),
         F.count_if(F.col("status") != "OK").alias("dropped"))
     n = lambda c: F.col(c).cast("string")
-    text = F.concat(
-        F.lit("Earth Engine rate-limited "), n("throttles"), F.lit(" of "), n("n_points"),
-        F.lit(" concurrent satellite-tile download(s) this request (retried with backoff)."),
-        F.when(F.col("dropped") > 0, F.concat(F.lit(" "), n("dropped"), F.lit(
-            " sampled point(s) were dropped, reducing spatial coverage."))).otherwise(""),
-        F.lit(f" If this recurs, lower ADVISORY_FETCH_WORKERS (currently {workers}) — e.g. to {max(2, workers // 2)} — "
-              "and restart the advisory."))
-    return per.where("throttles > 0").withColumn("warning", text)
+    text = F.concat(n("throttles"), F.lit(" of "), n("n_points"), F.lit(" fetches were throttled and "), n("dropped"),
+                    F.lit(f" gave no point; {suggested} workers instead of {workers} may avoid this."))
+    return per.where("throttles > 0").withColumns({"suggested_workers": F.lit(suggested), "warning": text})

@@ -40,11 +40,13 @@ def fit_level(df: DataFrame, level: str | None, cols: list[str]) -> LevelMedians
     if level == "mws_id":
         stats = df.groupBy("mws_id").agg(*[F.median(c).alias(c) for c in cols])
     else:
-        stats = None
-        for c in cols:
-            one = exact_median(df, [level] if level else [], c, c)
-            stats = one if stats is None else (
-                stats.join(one, level, "full") if level else stats.crossJoin(F.broadcast(one)))
+        # the column's name is a key of its own: one pipeline for all columns of the level
+        keys = [level] if level else []
+        stacked = df.select(*keys, F.explode(F.array(*[
+            F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("value")) for c in cols])).alias("_x")).select(
+            *keys, F.col("_x.col").alias("_col"), F.col("_x.value").alias("_value"))
+        medians = exact_median(stacked, [*keys, "_col"], "_value", "_median")
+        stats = medians.groupBy(*keys).agg(*[F.max(F.when(F.col("_col") == c, F.col("_median"))).alias(c) for c in cols])
     return LevelMedians(level, cols, cut_lineage(stats))
 
 

@@ -22,7 +22,8 @@ def global_metrics(df: DataFrame) -> DataFrame:
         n.alias("n_samples"), r2("actual", "forecast").alias("global_r2"),
         F.sqrt(F.avg((f - a) * (f - a))).alias("rmse"), F.avg(F.abs(f - a)).alias("mae"), bias.alias("bias"),
         F.corr("actual", "forecast").alias("corr"),
-        F.when(n >= 2, 1 - F.try_divide(sse - n * bias * bias, sst)).alias("debiased_r2"))
+        F.when(n >= 2, F.when(sst > 0, 1 - (sse - n * bias * bias) / sst).when(
+            F.abs(sse - n * bias * bias) <= 1e-12 * F.greatest(sse, F.lit(1e-300)), 1.0).otherwise(0.0)).alias("debiased_r2"))
 
 
 def reference_metrics(df: DataFrame) -> DataFrame:

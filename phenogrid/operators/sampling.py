@@ -9,7 +9,7 @@ from phenogrid.functions.columns import ladder
 from phenogrid.functions.geo import distance_km
 from phenogrid.operators.spatial import containing_polygon, nearest_k
 from phenogrid.schema import (
-    BUFFER_KM, CELL_FRACTION, MIN_POINTS, PROXY_KM, PROXY_TILE_KM, VEGETATED_CLASSES, VEGETATION_CAP,
+    BUFFER_KM, CELL_FRACTION, MIN_POINTS, PROXY_KM, PROXY_TILE_KM, VEGETATED_CLASSES,
     VEGETATION_KM, VEGETATION_PENALTY_KM,
 )
 from phenogrid.session import materialise
@@ -55,7 +55,7 @@ def vegetated(cover: DataFrame) -> DataFrame:
     return cover.where(F.col("cover_class").isin(VEGETATED_CLASSES))
 
 
-def sampled_vegetation(sites: DataFrame, cover: DataFrame, cap: int = VEGETATION_CAP, seed: int = 1) -> DataFrame:
+def sampled_vegetation(sites: DataFrame, cover: DataFrame, cap: int, seed: int = 1) -> DataFrame:
     """Seeded sample of at most ``cap`` vegetated points around each site (the sampling operator)."""
     near = nearest_k(sites.select(*SITE), SITE, vegetated(cover), "veg_id", None, target_at=("vlat", "vlon"), max_km=VEGETATION_KM)
     draw = Window.partitionBy(*SITE).orderBy(F.xxhash64("veg_id", F.lit(seed)), "veg_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from phenogrid.functions.columns import seeded_hash
 from phenogrid.functions.dates import period_label
 from phenogrid.functions.ranking import global_rank
 from phenogrid.schema import TILE_MIN_COVERAGE, TILE_MIN_YEAR
@@ -91,9 +92,9 @@ def registry_parity(left: DataFrame, right: DataFrame, keys=("mws_id", "target_d
 def tile_grouped_batches(resolved: DataFrame, tiles_per_batch: int, per_tile: int, seed: int = 42) -> DataFrame:
     """At most ``per_tile`` seeded samples of each tile, tiles in seeded order cut into batches."""
     tile = ["mws_id", "tile_year", "period"]
-    pick = Window.partitionBy(*tile).orderBy(F.xxhash64("target_date", F.lit(seed)), "target_date")
+    pick = Window.partitionBy(*tile).orderBy(seeded_hash(seed, *tile, "target_date"), "target_date")
     chosen = resolved.where("tile_found").withColumn("_k", F.row_number().over(pick)).where(F.col("_k") <= per_tile)
     order = global_rank(resolved.where("tile_found").select(*tile).distinct()
-                        .withColumn("_h", F.xxhash64(*tile, F.lit(seed))), ["_h", *tile], "_pos")
+                        .withColumn("_h", seeded_hash(seed, *tile)), ["_h", *tile], "_pos")
     order = order.select(*tile, F.floor(F.col("_pos") / tiles_per_batch).cast("int").alias("batch"))
     return chosen.join(order, tile).select("batch", *tile, "target_date", F.col("_k").alias("slot"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phenogrid.functions.asof import asof_join
-from phenogrid.functions.columns import W
+from phenogrid.functions.columns import W, seeded_share
 from phenogrid.schema import DYNAMIC, LEAD, STATIC, WINDOW
 
 
@@ -22,12 +22,14 @@ def split_samples(df: DataFrame, window: int = WINDOW, lead: int = LEAD, dynamic
     lead_rows = W().rowsBetween(-(lead - 1), 0)
     hist_rows = W().rowsBetween(-(lead + window - 1), -lead)
     whole = W().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    have = [c for c in dynamic if c in df.columns]
-    stat = [c for c in static if c in df.columns]
+    have, stat = list(dynamic), list(static)
+    missing = [c for c in (*have, *stat) if c not in df.columns]
+    if missing:
+        raise ValueError(f"the panel lacks {', '.join(missing)}")
     complete = F.forall(F.array(*[F.col(c).isNotNull() for c in have]), lambda ok: ok)
     cols = {
         "_rn": F.row_number().over(W()), "_lo": F.min("split").over(lead_rows), "_hi": F.max("split").over(lead_rows),
-        "_full": F.count_if(complete).over(hist_rows), "_nlead": F.count(F.col("precipitation") + F.col("temperature_2m")).over(lead_rows),
+        "_full": F.count_if(complete).over(hist_rows), 
         "current_ndvi": F.lag("NDVI", lead).over(W()), "history_start": F.lag("date", lead + window - 1).over(W()),
         "history_end": F.lag("date", lead).over(W()),
         "forecast_precip_sum": F.sum("precipitation").over(lead_rows),
@@ -38,7 +40,9 @@ def split_samples(df: DataFrame, window: int = WINDOW, lead: int = LEAD, dynamic
         cols["history_dates"] = F.collect_list("date").over(hist_rows)
     out = df.withColumns(cols).where(
         (F.col("_rn") >= window + lead) & (F.col("_lo") == F.col("_hi")) & (F.col("_full") == window)
-        & (F.col("_nlead") == lead) & F.col("NDVI").isNotNull())
+        & F.col("NDVI").isNotNull())
+    # NULLs among the lead rows are skipped; only a sum or mean of nothing, or a NULL static value, rejects
+    out = out.dropna(subset=["forecast_precip_sum", "forecast_temp_mean", *[f"_s_{c}" for c in stat]])
     keep = ["mws_id", F.col("date").alias("target_date"), "split", F.col("NDVI").alias("target"), "current_ndvi",
             "history_start", "history_end", "forecast_precip_sum", "forecast_temp_mean",
             *[F.col(f"_s_{c}").alias(c) for c in stat]]
@@ -57,16 +61,23 @@ def serving_windows(requests: DataFrame, history: DataFrame, cutoff: str, cols,
 
 
 def debug_records(samples: DataFrame) -> DataFrame:
-    """Samples as JSON lines with their arrays, for inspection."""
+    """Samples as JSON lines with their static values, codes and arrays, for inspection."""
+    series = lambda c: F.transform("history", lambda row: row[DYNAMIC.index(c)])
     return samples.select("mws_id", "target_date", F.to_json(F.struct(
         "mws_id", "target_date", "split", "target", "current_ndvi", "forecast_precip_sum", "forecast_temp_mean",
-        "history_dates", "history")).alias("record"))
+        *[c for c in STATIC if c in samples.columns], *[c for c in samples.columns if c.endswith("_encoded")],
+        "history_dates", "history",
+        *[series(c).alias(f"{c}_history") for c in ("precipitation", "temperature_2m")],
+    )).alias("record"))
 
 
 def mask_history(samples: DataFrame, p: float = 0.15, seed: int = 42, feature: int = 0) -> DataFrame:
-    """Augmentation: with probability p, zero one feature of the history except in its last row."""
+    """Augmentation: with probability p, zero one feature of the history except in its last row.
+
+    The choice is a hash of the sample and the seed, so it doesn't depend on how rows are dealt out.
+    """
     n = F.size("history")
     masked = F.transform("history", lambda row, i: F.when(i == n - 1, row).otherwise(
         F.transform(row, lambda v, j: F.when(j == feature, 0.0).otherwise(v))))
-    return samples.withColumn("masked", F.rand(seed) < p).withColumn(
+    return samples.withColumn("masked", seeded_share(seed, "mws_id", "target_date") < p).withColumn(
         "history", F.when(F.col("masked"), masked).otherwise(F.col("history")))

@@ -122,7 +122,7 @@ def facts(spark, d) -> DataFrame:
     pts = materialise(scored_points(spark, d, src).where("z is not null"), "points")
     areas = area.summarise(pts, ["district", "anchor"], bounded=False)
     req = requests(spark, d).select("mws_id", "anchor")
-    views = quality.clear_view(req, src, "anchor", window=12).select("mws_id", "anchor", "clear_view")
+    views = quality.clear_view(req, src, "anchor").select("mws_id", "anchor", "clear_view")
     trends = anomaly.recent_anomalies(req, src, "anchor").select("mws_id", "anchor", anomaly.trend(F.col("recent")).alias("trend"))
     n = F.col("loc_no")
     return (

@@ -260,7 +260,7 @@ def c33(spark, d):
 @query("c34_clear_view")
 def c34(spark, d):
     n = F.col("mws_id").cast("long")
-    h = history(spark, d).withColumn("SummaryQA", F.when(n % 5 != 2, F.col("SummaryQA"))).where("step >= 30")
+    h = history(spark, d).withColumn("SummaryQA", F.when(n % 5 != 2, F.col("SummaryQA")))
     req = targets(spark, d).withColumnRenamed("target", "cutoff").withColumn("coverage_pct", (F.col("mws_id").cast("long") % 100).cast("double"))
     return quality.clear_view(req, h, "cutoff", "coverage_pct").select("mws_id", "cutoff", "clear_view")
 

@@ -8,6 +8,7 @@ from phenogrid.functions import geo
 from phenogrid.functions.columns import round_cols, rounded
 from phenogrid.operators import sampling, spatial
 from phenogrid.plans.registry import query
+from phenogrid.schema import VEGETATION_CAP
 from phenogrid.sources import tables as t
 
 
@@ -83,7 +84,7 @@ def f11(spark, d):
 @query("f12_vegetation_sample")
 def f12(spark, d):
     plots, _, villages, _, cover = _inputs(spark, d)
-    out = sampling.sampled_vegetation(sampling.sites_of(plots, villages), cover)
+    out = sampling.sampled_vegetation(sampling.sites_of(plots, villages), cover, cap=VEGETATION_CAP)
     return plots.select("plot_id", *sampling.SITE).join(out, sampling.SITE).select("plot_id", "veg_id", rounded("km", 4).alias("km"))
 
 

@@ -52,7 +52,9 @@ def a03(spark, d):
 @query("a04_embeddings_from_wide")
 def a04(spark, d):
     emb = t.embeddings(spark, d)
-    n = 64
+    low, n = emb.select(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if low != n:
+        raise ValueError(f"vectors of {low} to {n} entries")
     wide = emb.select(F.col("vec_id").alias("mws_id"), (F.lit(2000) + F.col("label")).alias("year"),
                       F.when(F.col("vec_id") % 3 == 0, "H1").alias("half"), *[F.col("embedding")[i].alias(f"e{i}") for i in reversed(range(n))])
     path = scratch_path(spark, "embeddings")

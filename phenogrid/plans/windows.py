@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from phenogrid.functions.columns import round_cols
+from phenogrid.functions.columns import round_cols, seeded_hash, seeded_share
 from phenogrid.functions.dates import snap_to_grid
 from phenogrid.operators import features, forecast, metrics, scaling, tiles, windows
 from phenogrid.plans import features as fplan
@@ -128,21 +128,22 @@ def e12(spark, d):
 
 def evaluation_pairs(locs, n, per_location, first, span_days, seed=42):
     """n seeded locations x k seeded dates; n is the size of the wanted set."""
-    chosen = locs.select("mws_id", "latitude", "longitude").orderBy(F.xxhash64("mws_id", F.lit(seed)), "mws_id").limit(n)
+    chosen = locs.select("mws_id", "latitude", "longitude").orderBy(seeded_hash(seed, "mws_id"), "mws_id").limit(n)
     k = chosen.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(per_location))))
-    offset = F.pmod(F.xxhash64("mws_id", "draw", F.lit(seed)), F.lit(span_days + 1)).cast("int")
+    offset = F.floor(seeded_share(seed, "mws_id", "draw") * (span_days + 1)).cast("int")
     return k.withColumn("target", F.date_add(F.lit(first).cast("date"), offset))
 
 
 @query("e13_random_evaluation_set")
 def e13(spark, d):
-    return evaluation_pairs(t.locations(spark, d), 50, 10, "1998-01-01", 1000)
+    return round_cols(evaluation_pairs(t.locations(spark, d), 50, 10, "1998-01-01", 1000), ["latitude", "longitude"])
 
 
 @query("e14_history_masking")
 def e14(spark, d):
     out = windows.mask_history(scaled_samples(spark, d))
-    return out.select("mws_id", "target_date", "masked", F.element_at("history", 1)[0].alias("first_ndvi"), F.element_at("history", -1)[0].alias("last_ndvi"))
+    return round_cols(out.select("mws_id", "target_date", "masked", F.element_at("history", 1)[0].alias("first_ndvi"),
+                                 F.element_at("history", -1)[0].alias("last_ndvi")), ["first_ndvi", "last_ndvi"])
 
 
 @query("f03_persistence_and_climatology")

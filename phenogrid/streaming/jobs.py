@@ -7,6 +7,7 @@ driver repeats a micro-batch and leaves the same table.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +33,14 @@ def _batch_writer(out: str, fn: Callable[[DataFrame], DataFrame] | None = None):
     return write
 
 
-def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", fn=None, timeout: int = 1800) -> None:
-    """Work off everything that has arrived, then stop."""
+def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", fn=None,
+                  timeout: int | None = None) -> None:
+    """Work off everything that has arrived, then stop; ``timeout`` (seconds) is the caller's, none by default."""
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint) \
         .foreachBatch(_batch_writer(out, fn)).trigger(availableNow=True).start()
-    if not q.awaitTermination(timeout):
+    if timeout is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(timeout):
         q.stop()
         raise TimeoutError(f"stream did not finish within {timeout} s")
 
@@ -44,8 +48,7 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
 # --- grid aggregation --------------------------------------------------------------------
 def fortnight_stream(obs: DataFrame, key: str, ts: str, value: str, epoch: str, watermark: str = WATERMARK) -> DataFrame:
     """Tumbling 14-day windows counted from ``epoch``, per key."""
-    spark = obs.sparkSession
-    shift = spark.sql(f"select datediff(date'{epoch}', date'1970-01-01') % {STEP_DAYS} d").first()["d"]
+    shift = (date.fromisoformat(epoch) - date(1970, 1, 1)).days % STEP_DAYS
     win = F.window(ts, f"{STEP_DAYS} days", startTime=f"{shift} days")
     return (
         obs.withWatermark(ts, watermark).groupBy(win.alias("w"), key)
@@ -70,18 +73,20 @@ def answer_requests(requests: DataFrame, answer: Callable[[DataFrame], DataFrame
 
 # --- gap tracking ------------------------------------------------------------------------
 GAP_OUTPUT = "mws_id string, step int, ndvi_gap_length int, sensor_reliability double"
-GAP_STATE = "gap int"
+GAP_STATE = "gap int, last int"
 
 
 def _track(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    gap = state.get[0] if state.exists else 0
-    rows = pd.concat(list(frames)).sort_values("step")  # one row per step: bounded by the calendar
-    gaps = []
-    for missing in rows["missing"]:
-        gap = gap + 1 if missing else 0
-        gaps.append(gap)
-    state.update((gap,))
-    g = pd.Series(gaps, index=rows.index, dtype="int32")
+    gap, last = state.get if state.exists else (0, -1)
+    # a step counts once: repeats and steps before the last one known are left out
+    rows = pd.concat([f[f["step"] > last] for f in frames]).sort_values("step").drop_duplicates("step")
+    if rows.empty:
+        return
+    missing = rows["missing"].astype(bool)
+    run = (~missing).cumsum()
+    g = missing.groupby(run).cumsum() + gap * (missing & (run == 0))
+    g = g.astype("int32")
+    state.update((int(g.iloc[-1]), int(rows["step"].iloc[-1])))
     reliability = 1.0 - 0.3 * (g > 0) - 0.3 * (g > 2) - 0.2 * (g > 3)
     yield pd.DataFrame({"mws_id": key[0], "step": rows["step"].astype("int32"), "ndvi_gap_length": g,
                         "sensor_reliability": reliability.clip(0.0, 1.0)})
@@ -90,7 +95,8 @@ def _track(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Ite
 def gap_stream(cells: DataFrame) -> DataFrame:
     """Running gap and reliability per location over arriving grid cells (mws_id, step, missing).
 
-    Cells come in step order per location; the state is a single counter.
+    Cells come in step order per location; the state is the running gap and the last step. A repeated
+    or late step gives no row: the ones after it have been answered.
     """
     return cells.groupBy("mws_id").applyInPandasWithState(
         _track, GAP_OUTPUT, GAP_STATE, "append", GroupStateTimeout.NoTimeout)
