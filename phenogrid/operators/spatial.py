@@ -60,46 +60,47 @@ def nearest_k(sites: DataFrame, site_key: list[str], targets: DataFrame, target_
               start_km: float = 1.0, group: list[str] = (), eligible=None) -> DataFrame:
     """The ``k`` nearest eligible targets of every site within ``max_km``; ties by target id.
 
-    Cubes come in doubling sizes. Counts per cube tell the smallest cube around a site that
-    holds k eligible targets by itself; the k-th distance inside it bounds the true one. The
-    27 cubes of the smallest size not below that bound then hold the answer for certain, so
-    the number of pairs follows k, not the density. A site without such a cube searches the
-    largest size. ``k=None`` asks for every target within ``max_km``. Sites must be distinct
-    rows; ``eligible`` may use site columns and the ``group`` columns of the targets.
+    Cubes come in sizes eight times as large as the one below. From the largest to the smallest,
+    a site keeps the occupied cubes around it whose nearest corner is closer than the distance
+    within which the farthest corners of others already promise k eligible targets; the targets
+    in the smallest cubes left are then measured. So a site meets few cubes of each size and the
+    targets of a few smallest cubes, whether it lies in a city, beside one or an ocean away.
+    ``k=None`` asks for every target within ``max_km``. Sites must be distinct rows; ``eligible``
+    may use site columns and the ``group`` columns of the targets.
     """
     sizes = _sizes(start_km, max_km)
     top = len(sizes) - 1
-    size_of = F.array(*[F.lit(s) for s in sizes])
     ok = eligible if eligible is not None else F.lit(True)
-    level = F.explode(F.sequence(F.lit(0), F.lit(top)))
     keep = [target_id, *target_at, *group]
     km = distance_km(*site_at, *target_at)
 
     at = lambda p: [F.col(f"_{p}{a}") for a in "xyz"]
     named = lambda xyz, p: [v.alias(f"_{p}{a}") for v, a in zip(xyz, "xyz")]
-    tgt = targets.select(*keep, *named(_xyz(*target_at), "t")).withColumn("_l", level if k is not None else F.lit(top))
-    tgt = tgt.select(*keep, *at("t"), "_l", *_cube(at("t"), size_of[F.col("_l")]))
+    tgt = targets.select(*keep, *named(_xyz(*target_at), "t"))
     base = sites.select(*dict.fromkeys([*site_key, *site_at]), *named(_xyz(*site_at), "s"))
     # squared chord from the stored coordinates: no trigonometry per pair
     apart = sum(((a - b) * (a - b) for a, b in zip(at("s"), at("t"))), F.lit(0.0))
     limit = sizes[top] if max_km is not None else 2.0
-    if k is None or top == 0:
-        search = base.withColumn("_l", F.lit(top)).withColumn("_reach", F.lit(limit))
+    around = _around(base.select("*", *_cube(at("s"), F.lit(sizes[top]))))
+    if k is None:
+        level, near = top, around
     else:
-        counts = tgt.groupBy("_l", *_AXES, *group).agg(F.count("*").alias("_n"))
-        own = base.withColumn("_l", level)
-        own = own.select(*base.columns, "_l", *_cube(at("s"), size_of[F.col("_l")]))
-        first = own.join(counts, ["_l", *_AXES]).where(ok).groupBy(*site_key, "_l", *_AXES).agg(F.sum("_n").alias("_n")) \
-            .where(F.col("_n") >= k).groupBy(*site_key).agg(F.min(F.struct("_l", *_AXES)).alias("_f")).select(*site_key, "_f.*")
-        kth = Window.partitionBy(*site_key).orderBy("_d2")
-        inside = base.join(first, site_key).join(tgt, ["_l", *_AXES]).where(ok).select(*site_key, apart.alias("_d2"))
-        bound = inside.withColumn("_r", F.row_number().over(kth)).where(F.col("_r") <= k).groupBy(*site_key).agg(F.max("_d2").alias("_d2"))
-        reach = F.least(F.coalesce(F.sqrt("_d2") * (1 + 1e-9) + 1e-12, F.lit(limit)), F.lit(limit))
-        search = base.join(bound, site_key, "left").withColumn("_reach", reach).drop("_d2")
-        fits = F.array_position(F.transform(size_of, lambda s: s >= F.col("_reach")), True) - 1
-        search = search.withColumn("_l", F.when(fits < 0, top).otherwise(fits).cast("int"))
-    search = _around(search.select("*", *_cube(at("s"), size_of[F.col("_l")])))
-    pairs = search.join(tgt, ["_l", *_AXES]).where((apart <= F.col("_reach") * F.col("_reach") * (1 + 1e-9)) & ok).withColumn("km", km)
+        levels = sorted({*range(0, top, 3), top}, reverse=True)
+        level = levels[-1]
+        # sizes are exact multiples by powers of two, so the cubes nest
+        smallest = tgt.select(*_cube(at("t"), F.lit(sizes[level])), *group).groupBy(*_AXES, *group).agg(F.count("*").alias("_n"))
+        up = lambda n: [F.shiftright(a, n).alias(a) for a in _AXES]
+        occupied = lambda x: smallest.select(*up(x - level), *group, "_n").groupBy(*_AXES, *group).agg(F.sum("_n").alias("_n"))
+        near = _closest(around.join(occupied(top), list(_AXES)).where(ok), site_key, at("s"), sizes[top], k, limit)
+        for above, here in zip(levels, levels[1:]):
+            parts = occupied(here) if here > level else smallest
+            parts = parts.withColumns({f"_up{a}": c for a, c in zip(_AXES, up(above - here))})
+            near = near.withColumnsRenamed({a: f"_up{a}" for a in _AXES}).drop("_n").join(
+                parts, [*(f"_up{a}" for a in _AXES), *group]).drop(*(f"_up{a}" for a in _AXES))
+            near = _closest(near, site_key, at("s"), sizes[here], k, limit)
+        near = near.drop("_n")
+    held = tgt.select(*keep, *at("t"), *_cube(at("t"), F.lit(sizes[level])))
+    pairs = near.join(held, [*_AXES, *(group if k is not None else ())]).where((apart <= limit * limit * (1 + 1e-9)) & ok).withColumn("km", km)
     if max_km is not None:
         pairs = pairs.where(F.col("km") <= max_km)
     if k is None:
@@ -109,6 +110,20 @@ def nearest_k(sites: DataFrame, site_key: list[str], targets: DataFrame, target_
         *site_key, *keep, "km", "rank")
 
 
+def _closest(near: DataFrame, site_key: list[str], xyz, size: float, k: int, limit: float) -> DataFrame:
+    """Cubes (with their number of targets) that may hold one of a site's k nearest."""
+    low = [F.col(a) * size - x for a, x in zip(_AXES, xyz)]
+    zero = F.lit(0.0)
+    closest = sum((F.pow(F.greatest(d, -d - size, zero), 2) for d in low), zero)
+    farthest = sum((F.pow(F.greatest(F.abs(d), F.abs(d + size)), 2) for d in low), zero)
+    whole = Window.partitionBy(*site_key)
+    so_far = F.sum("_n").over(whole.orderBy("_far").rangeBetween(Window.unboundedPreceding, 0))
+    out = near.withColumns({"_close": closest, "_far": farthest}).withColumn("_sum", so_far)
+    enough = F.coalesce(F.min(F.when(F.col("_sum") >= k, F.col("_far"))).over(whole), F.lit(limit * limit))
+    return out.withColumn("_enough", F.least(enough, F.lit(limit * limit))).where(
+        F.col("_close") <= F.col("_enough") * (1 + 1e-9) + 1e-15).drop("_close", "_far", "_sum", "_enough")
+
+
 def nearest_profile(points: DataFrame, profiles: DataFrame, cols: list[str], at=("lat", "lon")) -> DataFrame:
     """``cols`` of the profile nearest to each point, found once per distinct position."""
     sites = points.select(*at).distinct()
