@@ -299,13 +299,24 @@ def plot_advisory(spark, d):
     z = scored_points(spark, d, src).where(F.col("anchor") == F.expr(f"date_add(date'{t.EPOCH}', {14 * ANCHOR_STEPS[1]})")).select("mws_id", "anchor", "target", "z")
     placed = materialise(tasks.join(z, "mws_id").where("z is not null"), "placed")
     own = placed.where("ord = 0").select("plot_id", "mws_id", "anchor", "target", F.col("z").alias("plot_z"))
-    areas = area.summarise(placed.where("ord > 0"), ["plot_id"])
+    areas = materialise(area.summarise(placed.where("ord > 0"), ["plot_id"]).drop("small_sample"), "areas")
+    summary = materialise(summary, "summary")
     req = own.select("mws_id", "anchor").distinct()
     views = quality.clear_view(req, src, "anchor").select("mws_id", "clear_view")
     trends = anomaly.recent_anomalies(req, src, "anchor").select("mws_id", anomaly.trend(F.col("recent")).alias("trend"))
-    f = own.join(areas.drop("small_sample"), "plot_id").join(summary.drop("n_points", "tile"), "plot_id").join(views, "mws_id").join(trends, "mws_id")
+    f = own.join(areas, "plot_id").join(summary.drop("n_points", "tile"), "plot_id") \
+        .join(views, "mws_id", "left").join(trends, "mws_id", "left")
     f = f.withColumns({"conf_cap": F.when(F.col("veg_fallback"), "medium"), "fallow": F.lit(False), "target_month": F.month("target"),
                        "district": F.lit(None).cast("string"), "tehsil": F.lit(None).cast("string")})
-    out = message.sampling_note(message.render(rules.decide(f, rules.default_rules(spark))))
-    return out.select("plot_id", "coverage", "n", "median_z", "severity", "attribution", "effective_confidence",
-                      F.col("matched.risk_level").alias("risk_level"), F.concat_ws("\n", "message", "note").alias("message"))
+    answers = message.render(rules.decide(f, rules.default_rules(spark))).select(
+        "plot_id", "n", "median_z", "severity", "attribution", "effective_confidence", F.col("matched.risk_level").alias("risk_level"), "message")
+    # every plot gets a row: an answer, or the reason why there is none
+    nowhere = F.lit(None).cast("string")
+    noted = message.sampling_note(summary.withColumns({"tehsil": nowhere, "district": nowhere})).select("plot_id", "coverage", "note")
+    out = noted.join(own.select("plot_id", "plot_z"), "plot_id", "left").join(areas.select("plot_id", F.lit(True).alias("has_points")), "plot_id", "left") \
+        .join(answers, "plot_id", "left")
+    return out.select(
+        "plot_id", "coverage",
+        F.when(F.col("coverage") == "out of coverage", "out of coverage").when(F.col("plot_z").isNull(), "no data at the plot")
+        .when(F.col("has_points").isNull(), "no points with data").otherwise("ok").alias("status"),
+        "n", "median_z", "severity", "attribution", "effective_confidence", "risk_level", F.concat_ws("\n", "message", "note").alias("message"))
