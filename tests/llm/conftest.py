@@ -1,7 +1,11 @@
+import sys
 import zlib
+from pathlib import Path
 
 import pytest
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
 
 @pytest.fixture(scope="session")
 def docs_of(spark):

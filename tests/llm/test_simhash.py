@@ -1,35 +1,13 @@
 """SimHash groups against a comparison of all fingerprints, with copies, hot buckets and odd rows."""
 
 import random
-from itertools import combinations
 
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from phenogrid.llm import simhash
 from phenogrid.llm.components import components
-
-
-def plain_fingerprint(text):
-    w = (text or "").encode().lower().split()
-    h = [xxhash.xxh64_intdigest(b" ".join(w[i:i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
-def groups(prints):
-    """Component number of each fingerprint by comparing all."""
-    at = {p: p for p in prints}
-
-    def find(x):
-        while at[x] != x:
-            x = at[x]
-        return x
-
-    for a, b in combinations(at, 2):
-        if (a ^ b).bit_count() <= 2:
-            at[find(a)] = find(b)
-    return {p: find(p) for p in at}
+from tests_llm_plain import plain_fingerprint, plain_groups
 
 
 def signed(x):
@@ -38,7 +16,7 @@ def signed(x):
 
 def check(rows, found):
     prints = {i: plain_fingerprint(t) for i, t in rows}
-    root = groups(set(prints.values()))
+    root = plain_groups(set(prints.values()))
     first = {}
     for i, p in prints.items():
         first[root[p]] = min(i, first.get(root[p], i))
@@ -85,7 +63,7 @@ def test_hot_buckets_link_the_same(spark, paired):
     links = simhash.fingerprint_links(fps, paired).distinct()
     assert links.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > 2).isEmpty()
     root = {x["node"]: x["root"] for x in components(links).collect()}
-    expected = groups(prints)
+    expected = plain_groups(prints)
     by = {}
     for p, q in expected.items():
         by.setdefault(q, set()).add(signed(p))

@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 from phenogrid.llm import byte_bpe, decontaminate, html_text, pii, quality_lines, sharding, token_files, toxicity
 from phenogrid.session import scratch_path
+from tests_llm_plain import plain_hits
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -89,20 +90,6 @@ def test_encoder_keeps_right_ids_when_its_cache_turns_over(monkeypatch):
 
 # decontamination
 
-def plain_hits(text, items, window=10):
-    low = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
-    w, hit, found = low(text), set(), set()
-    for item, body in items:
-        v = low(body)
-        grams = [v] if 0 < len(v) < window else [v[i:i + window] for i in range(len(v) - window + 1)]
-        for g in grams:
-            for i in range(len(w) - len(g) + 1):
-                if w[i:i + len(g)] == g:
-                    hit.update(range(i, i + len(g)))
-                    found.add(str(item))
-    return len(w), len(hit), sorted(found)
-
-
 @pytest.mark.parametrize("block", [1, 100_000])
 def test_contamination(spark, docs_of, block):
     r = random.Random(3)
