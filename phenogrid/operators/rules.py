@@ -53,6 +53,12 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     return df.fillna("", subset=RULE_COLUMNS[1:])
 
 
+def write_rules(rules: DataFrame, path: str) -> str:
+    """Rule table to storage, in the form ``read_rules`` takes."""
+    rules.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    return path
+
+
 def default_rules(spark: SparkSession) -> DataFrame:
     """The packaged table (17 rows, read on the driver: executors need not see the package)."""
     with open(RULE_FILE, encoding="utf-8") as f:

@@ -11,7 +11,7 @@ from phenogrid.plans import features as fplan
 from phenogrid.plans import panel as pplan
 from phenogrid.plans import spatial as splan
 from phenogrid.plans.registry import query
-from phenogrid.session import materialise
+from phenogrid.session import materialise, scratch_path
 from phenogrid.sources import tables as t
 
 ANCHOR_STEPS = (100, 125, 150)
@@ -284,9 +284,9 @@ def j20(spark, d):
 
 @query("a06_rule_usage")
 def a06(spark, d):
-    """The rule table with how often each rule decided."""
+    """The rule table, read from storage, with how often each rule decided."""
     used = decided(spark, d).groupBy(F.col("matched.rule_order").alias("rule_order")).agg(F.count("*").alias("n_used"))
-    table = rules.default_rules(spark)
+    table = rules.read_rules(spark, rules.write_rules(rules.default_rules(spark), scratch_path(spark, "rules")))
     return table.join(F.broadcast(used), "rule_order", "left").select(
         "rule_order", "attribution", "regime", "severity", "confidence", "active_advisory", F.coalesce("n_used", F.lit(0)).alias("n_used"))
 
