@@ -7,8 +7,8 @@ sequence, because Spark scans the keys of a map one after the other. The ranks o
 neighbours are carried along, so a merge looks up two sequences at most. Bytes are written as
 Latin-1 characters inside these expressions.
 
-It is applied to distinct words, of which text repeats most: those that a task meets twice,
-the ``FREQUENT`` most frequent ones over all rows at most, each of ``LONGEST`` bytes at most.
+It is applied to distinct words, of which text repeats most: those in chunks that a task meets
+twice, the ``FREQUENT`` most frequent ones over all rows at most, each of ``LONGEST`` bytes at most.
 This bounded dictionary is broadcast. Every other word is folded where it stands by the same
 merges in ``merge_word``; folding all of them by the expression costs several times the time.
 """
@@ -129,28 +129,23 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _count_words(pattern: str):
-    def count(batches):
-        match, chunks = regex.compile(pattern), Counter()
+def _count_chunks(batches):
+    """(chunk, n) of a task's texts, for chunks that come twice before the counter is emptied."""
+    chunks: Counter = Counter()
 
-        def emit():
-            words: Counter = Counter()
-            for chunk, n in chunks.items():
-                for w in match.findall(chunk):
-                    words[w] += n
-            chunks.clear()
-            kept = [(w, n) for w, n in words.items() if n > 1 and len(w.encode("utf-8", "replace")) <= LONGEST]
-            return pd.DataFrame(kept, columns=["word", "n"])
+    def emit():
+        kept = [(c, n) for c, n in chunks.items() if n > 1 and len(c) <= LONGEST]
+        chunks.clear()
+        return pd.DataFrame(kept, columns=["chunk", "n"])
 
-        for batch in batches:
-            for text in batch.iloc[:, 0]:
-                if text:
-                    chunks.update(_CHUNK.findall(text))
-                if len(chunks) > 2 * _CACHED:
-                    yield emit()
-        if chunks:
-            yield emit()
-    return count
+    for batch in batches:
+        for text in batch.iloc[:, 0]:
+            if text:
+                chunks.update(_CHUNK.findall(text))
+            if len(chunks) > _CACHED:
+                yield emit()
+    if chunks:
+        yield emit()
 
 
 def frequent_words(docs: DataFrame, pattern: str, text_col: str = "text", most: int = FREQUENT) -> DataFrame:
@@ -159,8 +154,9 @@ def frequent_words(docs: DataFrame, pattern: str, text_col: str = "text", most:
     The least count that leaves no more than ``most`` words is found from a histogram of counts
     (bins an eighth of a doubling apart), so nothing is sorted or gathered.
     """
-    counts = docs.select(text_col).mapInPandas(_count_words(pattern), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = materialise(counts, "words")
+    chunks = docs.select(text_col).mapInPandas(_count_chunks, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    words = chunks.select("n", F.explode(F.regexp_extract_all("chunk", F.lit(f"(?U){pattern}"), 0)).alias("word"))
+    counts = materialise(words.where(F.octet_length("word").between(1, LONGEST)).groupBy("word").agg(F.sum("n").alias("n")), "words")
     bins = counts.groupBy(F.floor(F.log2("n") * 8).alias("bin")).agg(F.count("*").alias("words")).collect()
     left, least = most, None
     for row in sorted(bins, key=lambda r: -r["bin"]):
@@ -171,6 +167,14 @@ def frequent_words(docs: DataFrame, pattern: str, text_col: str = "text", most:
     return counts.where(F.floor(F.log2("n") * 8) >= (1 << 30 if least is None else least))
 
 
+def _smaller_batches(spark) -> None:
+    """Texts go to the workers some megabytes at a time, unless the session says otherwise."""
+    for name, value in (("maxRecordsPerBatch", "1000"), ("maxBytesPerBatch", "8m")):
+        key = f"spark.sql.execution.arrow.{name}"
+        if key not in {k for k, _ in spark.sparkContext.getConf().getAll()}:
+            spark.conf.set(key, value)
+
+
 class Coder:
     """Encodes texts in a worker; chunks seen lately are kept in two generations."""
 
@@ -219,6 +223,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     column that already has the name is replaced. The rank file is read on the driver and sent
     along with the dictionary.
     """
+    _smaller_batches(docs.sparkSession)
     ranks = read_ranks(ranks_path)
     words = frequent_words(docs, pattern, text_col, frequent).select(
         "word", fold_merges(F.col("word"), ranks).alias("ids")).toArrow()
