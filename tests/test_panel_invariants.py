@@ -1,5 +1,7 @@
 """Properties the pipeline must keep, on the smallest test data."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import Window
@@ -57,19 +59,32 @@ def test_compat_constants(spark, sf):
     assert out.where("precipitation = -9999").count() > 0
 
 
+def test_samples_name_missing_features_and_skip_null_lead_rows(spark):
+    rows = [("a", f"2000-01-{i + 1:02d}", "train", 0.1 * i, 1.0 if i != 5 else None, 2.0) for i in range(7)]
+    df = spark.createDataFrame(rows, "mws_id string, date string, split string, NDVI double, precipitation double, temperature_2m double")
+    with pytest.raises(ValueError, match="et"):
+        windows.split_samples(df, window=2, lead=2, dynamic=["NDVI", "et"], static=[])
+    got = {r["target_date"]: r["forecast_precip_sum"] for r in windows.split_samples(df, 2, 2, ["NDVI"], [], arrays=False).collect()}
+    assert got == {"2000-01-04": 2.0, "2000-01-05": 2.0, "2000-01-06": 1.0, "2000-01-07": 1.0}
+
+
 def test_masking_keeps_the_last_row(spark):
-    df = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0]],)] * 200, "history array<array<double>>")
+    df = spark.createDataFrame([(str(i), f"2000-01-{i % 28 + 1:02d}", [[1.0, 2.0], [3.0, 4.0]]) for i in range(200)],
+                               "mws_id string, target_date string, history array<array<double>>")
     out = windows.mask_history(df, p=0.5)
+    # the choice is the sample's, however rows are dealt out
+    again = windows.mask_history(df.repartition(7), p=0.5)
+    assert sorted(r["mws_id"] for r in out.where("masked").collect()) == sorted(r["mws_id"] for r in again.where("masked").collect())
     assert 0 < out.where("masked").count() < 200
     assert out.where("history[1][0] <> 3.0 or (masked and history[0][0] <> 0.0) or history[0][1] <> 2.0").count() == 0
 
 
-ROWS_ONLY = {"e06_sample_debug_records", "e12_tile_grouped_sampling", "e13_random_evaluation_set", "e14_history_masking",
-             "f04_learned_residual_forecast", "f05_validated_boosting", "plot_advisory_end_to_end"}
+ROWS_ONLY = {"e06_sample_debug_records", "f04_learned_residual_forecast", "f05_validated_boosting", "plot_advisory_end_to_end"}
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
+    own = {q for q in entry.queries() if not re.match(r"op[0-9]+_|pipeline$", q)}
+    assert own - set(entry.oracle_sql()) == ROWS_ONLY
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
