@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from phenogrid.session import materialise
+
 ORDER = 4
 DISCOUNT = 0.75
 PER_CLASS = 16384
@@ -145,7 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Model learned from the labelled rows for which ``may_learn`` holds.
 
     Rows without a text, id or label aren't learned from; repeated texts count once. Without rows
-    of both classes there is no evidence: every score is then 0 (no toxic example) or 1.
+    of both classes there is no evidence: every score is then 0 (no toxic example) or 1. A row that
+    is there several times with the same id and text counts as often.
     """
     marked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_toxic")).where(
         "_id is not null and _toxic in (0, 1)").distinct()
@@ -157,9 +160,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), "_id"), F.lit(1_000_000)) / 1_000_000
     share = F.when(F.col("_toxic") == 1, per_class / sizes[1]).otherwise(per_class / sizes[0])
     chosen = marked.where(draw < share)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(
-        F.length("_text").between(1, fit_chars)).join(chosen, "_id")
-    rows = rows.groupBy("_toxic", F.xxhash64("_text").alias("_h")).agg(F.first("_text").alias("_text"))
+    # about two times ``per_class`` ids, whatever the size of the tables: they are broadcast, so no text is shuffled
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_h")).where(
+        F.length("_text").between(1, fit_chars))
+    first = materialise(texts.join(F.broadcast(chosen), "_id").groupBy("_toxic", "_h").agg(F.min("_id").alias("_id")), "chosen")
+    rows = texts.join(F.broadcast(first), ["_id", "_h"])
     curve_row = F.pmod(F.col("_h"), F.lit(HELD_FOR_CURVE)) == 0
 
     words = rows.where(~curve_row).select("_toxic", F.explode(_distinct_words("_text")).alias("word")).groupBy("word").agg(
