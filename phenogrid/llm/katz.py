@@ -32,10 +32,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phenogrid.functions.ranking import global_rank
 from phenogrid.session import materialise
 
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 6_000_000
 BUCKET_TOKENS = 4_000_000
 KEPT = 5
 FLOOR = 0.01
@@ -320,6 +319,25 @@ def _together(uni, rest):
     return run
 
 
+def _ids(counted: DataFrame) -> DataFrame:
+    """(word, c, id): dense ids in the order of falling counts.
+
+    Rows are sorted by ranges and numbered where they lie; the numbers of rows in the partitions
+    before, one a partition, are added.
+    """
+    bits = 33  # of monotonically_increasing_id: partition above, row below
+    numbered = materialise(counted.withColumn("less", -F.col("c")).repartitionByRange("less", "word").sortWithinPartitions(
+        "less", "word").select("word", "c", F.monotonically_increasing_id().alias("at")), "words")
+    sizes = numbered.groupBy(F.shiftright("at", bits).alias("part")).count().orderBy("part").collect()
+    before, offsets = 0, []
+    for r in sizes:
+        offsets.append((r["part"], before))
+        before += r["count"]
+    shift = counted.sparkSession.createDataFrame(offsets, "part long, before long")
+    return numbered.withColumn("part", F.shiftright("at", bits)).join(F.broadcast(shift), "part").select(
+        "word", "c", (F.col("before") + F.col("at").bitwiseAND((1 << bits) - 1)).alias("id"))
+
+
 def score(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text",
           bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """(id, learned, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
@@ -335,7 +353,7 @@ def score(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
     placed = blocks.select("block", F.posexplode("words").alias("at", "word"), "counts").select(
         "block", "at", "word", F.get("counts", F.col("at")).alias("n"))
     counted = placed.where("n > 0").groupBy("word").agg(F.sum("n").alias("c"))
-    ranked = materialise(global_rank(counted.withColumn("less", -F.col("c")), ["less", "word"], "id").select("word", "c", "id"), "words")
+    ranked = _ids(counted)
     steps = [(r["c"], r["k"]) for r in ranked.groupBy("c").agg(F.count("*").alias("k")).collect()]
     learned = blocks.select(F.explode("learn").alias("x")).agg(F.count_if("x").alias("n")).first()["n"]
     unigrams = Unigrams.of(steps, learned or 0)
