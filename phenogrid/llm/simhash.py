@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from phenogrid.llm import near_copies
 from phenogrid.llm.components import components
 from phenogrid.session import materialise
 
@@ -124,12 +125,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group: the row whose id is the component's.
+    """One document of each group of near copies (``near_copies``): the row whose id is the component's.
 
+    Groups are by similarity, not by the fingerprints above, which tell little beyond exact copies.
     Rows without an id can't represent a group and go, unless their group has no id at all. Of
     rows that repeat the kept id, one stays: the smallest by all columns as text.
     """
-    found = near_duplicates(docs, id_col, text_col)
+    found = materialise(near_copies.near_copies(docs, id_col, text_col), "near-copies")
     keep = found.where(F.col(id_col) == F.col("component_id")).select(
         F.col(id_col).alias("_kept")).distinct()
     kept = docs.join(keep, F.col(id_col) == F.col("_kept"), "left_semi")
@@ -139,11 +141,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         kept = kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
     nameless = docs.where(F.col(id_col).isNull())
     if not nameless.isEmpty():
-        groups = found.where("component_id is null").select("fp").distinct()
-        tagged = nameless.withColumn("_fp", fingerprint(F.col(text_col))).join(
-            groups, F.col("_fp") == F.col("fp"), "left_semi")
-        roots = components(fingerprint_links(groups))
-        tagged = tagged.join(roots, F.col("_fp") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_fp"))
+        groups = found.where("component_id is null").select(F.col("text_id").alias("_text_id"), F.col("root").alias("_root")).distinct()
+        tagged = nameless.withColumn("_id", near_copies.text_id_of(F.col(text_col))).join(groups, F.col("_id") == F.col("_text_id"))
         first = Window.partitionBy("_root").orderBy(F.to_json(F.struct(*docs.columns)))
         kept = kept.unionByName(tagged.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns))
     return kept
