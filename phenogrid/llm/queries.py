@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from phenogrid.llm import byte_bpe, decontaminate, html_text, katz, pii, quality_lines, sharding, simhash, token_files, toxicity
+from phenogrid.llm import (
+    byte_bpe, decontaminate, html_text, katz, minhash_bins, pii, quality_lines, ranked_search, sharding, simhash, spelling, token_files,
+    toxicity,
+)
 from phenogrid.llm.registry import query, table
 from phenogrid.session import scratch_path
 
@@ -88,3 +91,19 @@ def op5(spark, sf_dir):
     part = toxicity.in_part("doc_id", 10)
     found = katz.score(table(spark, sf_dir, "documents"), part != 0)
     return found.select("doc_id", (part == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op11_ranked_search", ranked_search.SQL)
+def op11(spark, sf_dir):
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+@query("op12_minhash_bins")
+def op12(spark, sf_dir):
+    found = minhash_bins.edited_likeness(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
+@query("op13_spelling")
+def op13(spark, sf_dir):
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
