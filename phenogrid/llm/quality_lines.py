@@ -1,10 +1,10 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
 A line is normalised (lower case, blanks collapsed) and hashed; per host (``source``) the distinct
-texts that hold it are counted, so exact copies count once. Lines in more than ``MAX_DOCS`` of
-them are removed, and a document of which less than ``MIN_LEFT`` of its word characters stay is
-rejected. Only line hashes are shuffled, never texts; counting is in two steps, so a host or line
-that is everywhere is combined before it meets, and the join back is salted.
+documents that hold it are counted. Lines in more than ``MAX_DOCS`` of them are removed, and a document of
+which less than ``MIN_LEFT`` of its word characters stay is rejected. A document is an id; a row without one is a
+document of its own. Only line hashes and ids are shuffled, never texts; counting is in two steps, so a host or
+line that is everywhere is combined before it meets, and the join back is salted.
 """
 
 from __future__ import annotations
@@ -18,6 +18,9 @@ MIN_WORDS = 50
 SALTS = 16
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
+#: Helper columns beside a caller's own ones start with this.
+OWN = "__line_quality_"
+LOST = ["_id", "_content", "host", "removed", "lines"]
 
 
 def words_of(text: Column) -> Column:
@@ -61,13 +64,14 @@ def base_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words and base_failed."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: word_chars(x) > 0)
-    wide = docs.withColumns({"_words": words_of(text), "_lines": lines})
+    words, split = f"{OWN}words", f"{OWN}split"
+    wide = docs.withColumns({words: words_of(text), split: lines})
     wide = wide.withColumns({
-        "n_words": F.size("_words").cast("long"),
+        "n_words": F.size(words).cast("long"),
         "word_chars": word_chars(text).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": repeated_words(F.col("_words")).cast("long")}).drop("_words", "_lines")
+        "n_dup_lines": (F.size(split) - F.size(F.array_distinct(split))).cast("long"),
+        "n_repeat_words": repeated_words(F.col(words)).cast("long")}).drop(words, split)
     return wide.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
@@ -75,14 +79,17 @@ def _normal(line: Column) -> Column:
     return F.array_join(words_of(F.lower(line)), " ")
 
 
-def frequent_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_docs: int = MAX_DOCS) -> DataFrame:
-    """(host, line, n_docs): hashes of normalised lines in more than ``max_docs`` distinct texts of a host.
+def frequent_lines(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text",
+                   max_docs: int = MAX_DOCS) -> DataFrame:
+    """(host, line, n_docs): hashes of normalised lines in more than ``max_docs`` distinct documents of a host.
 
-    A NULL host is a host of its own ('').
+    A NULL host is a host of its own (''). Rows with the same id are one document, each row with a NULL id is one.
+    NULL, empty and blank texts have no lines; an empty table gives no rows.
     """
     lines = F.array_distinct(F.transform(F.split(F.col(text_col), "\n"), _normal))
     rows = docs.select(
-        F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.xxhash64(text_col).alias("content"),
+        F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(id_col).alias("id"),
+        F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).alias("place"),
         F.explode(F.transform(F.array_remove(lines, ""), lambda x: F.xxhash64(x))).alias("line"))
     once = rows.distinct()
     return once.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
@@ -90,7 +97,10 @@ def frequent_lines(docs: DataFrame, host_col: str = "source", text_col: str = "t
 
 def removed_chars(docs: DataFrame, frequent: DataFrame, id_col: str = "doc_id", host_col: str = "source",
                   text_col: str = "text") -> DataFrame:
-    """(id, content, removed, lines) of documents that lose a line: word characters and line hashes."""
+    """Word characters and line hashes that each document loses, by id, hash of the text, and host.
+
+    Documents that lose none have no row; NULL, empty and blank texts lose none.
+    """
     lines = F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda x: F.struct(
         F.xxhash64(_normal(x)).alias("line"), word_chars(x).alias("chars"))), lambda x: x["chars"] > 0)
     rows = docs.select(
@@ -102,7 +112,7 @@ def removed_chars(docs: DataFrame, frequent: DataFrame, id_col: str = "doc_id",
     # repeated rows of a table are one document: its lines are told apart by their place
     return rows.join(salted, ["host", "line", "salt"]).groupBy("_id", "_content", "host", "at").agg(
         F.max("chars").alias("chars"), F.max("line").alias("line")).groupBy("_id", "_content", "host").agg(
-        F.sum("chars").alias("removed"), F.collect_set("line").alias("lines"))
+        F.sum("chars").alias("removed"), F.collect_set("line").alias("lines")).withColumnsRenamed({c: f"{OWN}{c}" for c in LOST})
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text",
@@ -113,33 +123,34 @@ def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", tex
     repeated rows get the same verdict each. Columns named like the new ones are replaced.
     ``clean_text`` is computed only if it is used.
     """
-    frequent = frequent_lines(docs, host_col, text_col, max_docs)
+    frequent = frequent_lines(docs, id_col, host_col, text_col, max_docs)
     lost = removed_chars(docs, frequent, id_col, host_col, text_col)
+    key, host, lines = (f"{OWN}{c}" for c in ("key", "of", "lines"))
     base = base_measures(docs, text_col).withColumns({
-        "_key": F.xxhash64(text_col), "_host": F.coalesce(F.col(host_col).cast("string"), F.lit(""))})
-    out = base.join(lost, (base[id_col].eqNullSafe(lost["_id"])) & (base["_key"] == lost["_content"])
-                    & (base["_host"] == lost["host"]), "left")
-    left = F.col("word_chars") - F.coalesce("removed", F.lit(0))
+        key: F.xxhash64(text_col), host: F.coalesce(F.col(host_col).cast("string"), F.lit(""))})
+    out = base.join(lost, (base[id_col].eqNullSafe(lost[f"{OWN}_id"])) & (base[key] == lost[f"{OWN}_content"])
+                    & (base[host] == lost[f"{OWN}host"]), "left")
+    left = F.col("word_chars") - F.coalesce(f"{OWN}removed", F.lit(0))
     clean = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x: ~F.array_contains(
-        F.col("lines"), F.xxhash64(_normal(x)))), "\n")
+        F.col(lines), F.xxhash64(_normal(x)))), "\n")
     return out.withColumns({
         "kept": ~F.col("base_failed") & (left >= min_left * F.col("word_chars")),
-        "clean_text": F.when(F.col("lines").isNull(), F.col(text_col)).otherwise(clean)}).drop(
-        "_key", "_host", "_id", "_content", "host", "removed", "lines")
+        "clean_text": F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(clean)}).drop(
+        key, host, *(f"{OWN}{c}" for c in LOST))
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
 SQL = rf"""
-WITH w AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents),
+WITH w AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'row ' || row_number() OVER ()) AS d, coalesce(source, '') AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents),
 grams AS (SELECT doc_id, p, array_to_string(words[p:p + 2], ' ') AS g
           FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS p FROM w WHERE len(words) > 2)),
 again AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams),
 repeated AS (SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (SELECT doc_id, unnest(range(p, p + 3)) AS q FROM again WHERE n > 1) GROUP BY doc_id),
-lines AS (SELECT doc_id, host, t, line, length(array_to_string(regexp_extract_all(line, '{_WORD}'), '')) AS chars,
+lines AS (SELECT doc_id, d, host, line, length(array_to_string(regexp_extract_all(line, '{_WORD}'), '')) AS chars,
                  array_to_string(regexp_extract_all(lower(line), '{_WORD}'), ' ') AS normal
-          FROM (SELECT doc_id, host, t, unnest(string_split(t, chr(10))) AS line FROM w)),
+          FROM (SELECT doc_id, d, host, unnest(string_split(t, chr(10))) AS line FROM w)),
 worded AS (SELECT * FROM lines WHERE chars > 0),
-frequent AS (SELECT host, normal FROM worded GROUP BY host, normal HAVING count(DISTINCT t) > {MAX_DOCS}),
+frequent AS (SELECT host, normal FROM worded GROUP BY host, normal HAVING count(DISTINCT d) > {MAX_DOCS}),
 per_doc AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines,
                    sum(CASE WHEN frequent.normal IS NOT NULL THEN chars ELSE 0 END) AS removed
             FROM worded LEFT JOIN frequent USING (host, normal) GROUP BY doc_id),

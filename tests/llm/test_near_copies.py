@@ -1,32 +1,11 @@
 """Groups of near copies against a comparison of all pairs by whole shingle sets."""
 
 import random
-from itertools import combinations
 
 import pytest
 
 from phenogrid.llm import near_copies, simhash
-
-
-def plain_shingles(text):
-    w = (text or "").encode().lower().split()
-    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-
-def plain_kept(rows):
-    """Smallest id of each group of texts linked by a Jaccard similarity of 0.8 or more."""
-    sets, at = {i: plain_shingles(t) for i, t in rows}, {i: i for i, _ in rows}
-
-    def find(x):
-        while at[x] != x:
-            x = at[x]
-        return x
-
-    for a, b in combinations(sets, 2):
-        if sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
-            x, y = sorted((find(a), find(b)))
-            at[y] = x
-    return {find(i) for i in at}
+from tests_llm_plain import plain_kept
 
 
 def mutated(r, words, edits):

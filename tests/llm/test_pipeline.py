@@ -8,7 +8,7 @@ import tiktoken
 
 import corpus_pipeline
 from phenogrid.llm import byte_bpe, pii, toxicity
-from tests_llm_plain import plain_fingerprint, plain_groups, plain_hits
+from tests_llm_plain import plain_hits, plain_kept
 
 
 def plain_score(model, text):
@@ -38,12 +38,7 @@ def test_rows(spark, sf):
     rows = {r["doc_id"]: r for r in docs.collect()}
     items = [(r["item_id"], r["text"]) for r in bench.collect()]
     kept = {i: r["text"] for i, r in rows.items() if plain_score(model, r["text"]) < 0.5}
-    prints = {i: plain_fingerprint(t) for i, t in kept.items()}
-    root = plain_groups(set(prints.values()))
-    first = {}
-    for i, p in prints.items():
-        first[root[p]] = min(i, first.get(root[p], i))
-    kept = {i: kept[i] for i in first.values()}
+    kept = {i: kept[i] for i in plain_kept(list(kept.items()))}
     kept = {i: redacted(t) for i, t in kept.items() if not plain_hits(t, items)[1]}
     plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, special_tokens={},
                               mergeable_ranks=byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
