@@ -8,15 +8,16 @@ documents and ids before each, which are prefix sums over the parts.
 
 Documents are dealt out by ranges of their id, so ids ascend over and inside the parts; each task
 writes its part under a temporary name and renames it, so a repeated task replaces it by the same
-bytes. Words between ASCII blanks are encoded independently by such tokenizers (the vocabulary's
-normaliser and pattern never look across a blank), so each worker encodes a word once and keeps
-the result in a cache of bounded size.
+bytes. Where a vocabulary's normaliser and pattern never look across an ASCII blank (``splits_at_blanks``
+tries it), each worker encodes a word once and keeps the result in a cache of bounded size;
+otherwise texts are encoded whole.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from urllib.parse import urlparse
 
 import numpy as np
@@ -31,6 +32,8 @@ NO_ID = -(1 << 63)
 _CACHED = 400_000
 _LONGEST = 64
 _BATCH = 8 << 20
+_TOGETHER = 128
+_PLAIN = re.compile(rb"(?:[!-~]|\xc3[\x80-\xbf])+").fullmatch
 
 
 def _fs(path: str):
@@ -41,46 +44,96 @@ def _fs(path: str):
 
 
 class Encoder:
-    """Encodes texts to packed ids; words seen lately are kept in two generations."""
+    """Encodes texts to packed ids; words seen lately are kept in two generations.
 
-    def __init__(self, vocabulary: str, wide: bool):
+    New words are encoded many at a time, joined by blanks. Where one word's ids end is told by the bytes
+    that the tokens of a byte-level vocabulary stand for, which is certain for words of ``_PLAIN``
+    characters: lower-casing keeps their size. Every end must be that of a token; if one isn't, or
+    for other words, each word is encoded on its own. With ``by_words=False`` whole texts are encoded.
+    """
+
+    def __init__(self, vocabulary: str, wide: bool, by_words: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.dtype = np.dtype("<u4" if wide else "<u2")
+        self.by_words = by_words
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
+        tokens = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.sizes = np.zeros(max(tokens.values(), default=0) + 1, dtype=np.int64)
+        for token, number in tokens.items():
+            self.sizes[number] = len(token) - (len(suffix) if suffix and token.endswith(suffix) else 0)
+
+    def _packed(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
+
+    def _joined(self, words: list[bytes]) -> list[bytes] | None:
+        """Ids of each word from one call for all; None where the ends aren't certain."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, dtype=np.int64)
+        ends, reached = np.cumsum([len(w) for w in words]), np.cumsum(self.sizes[ids])
+        cuts = np.searchsorted(reached, ends)
+        if not len(reached) or reached[-1] != ends[-1] or (reached[cuts] != ends).any():
+            return None
+        blob, width = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+        places = [0, *((cuts + 1) * width).tolist()]
+        return [blob[i:j] for i, j in zip(places, places[1:])]
+
+    def encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        plain = [w for w in words if _PLAIN(w)]
+        known = set(plain)
+        out, rest = {}, [w for w in words if w not in known]
+        for at in range(0, len(plain), 256):
+            some = plain[at:at + 256]
+            found = self._joined(some)
+            if found is None:
+                rest += some
+            else:
+                out.update(zip(some, found))
+        for at in range(0, len(rest), 1024):
+            some = rest[at:at + 1024]
+            out.update(zip(some, self._packed([w.decode() for w in some])))
+        return out
 
     def __call__(self, text: str | None) -> bytes:
-        words = text.encode("utf-8", "replace").split() if text else []
-        young = self.young
-        try:
-            return b"".join([young[w] for w in words])
-        except KeyError:
-            pass
-        spare = {w: self.old.get(w) for w in dict.fromkeys(words) if w not in young}
-        new = [w for w, ids in spare.items() if ids is None]
-        for at in range(0, len(new), 1024):
-            some = new[at:at + 1024]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            for w, e in zip(some, found):
-                spare[w] = np.array(e.ids, dtype=self.dtype).tobytes()
-        out = b"".join([young[w] if w in young else spare[w] for w in words])
-        if len(young) + len(spare) > _CACHED:
-            self.old, self.young = young, {}
-        self.young.update((w, ids) for w, ids in spare.items() if len(w) <= _LONGEST)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text; the words that none before had are looked up and encoded together."""
+        if not self.by_words:
+            return self._packed([t or "" for t in texts])
+        split = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
+        known = self.young
+        fresh = {w: self.old.get(w) for w in set().union(*split) if w not in known}
+        fresh.update(self.encode_words([w for w, ids in fresh.items() if ids is None]))
+        known.update(fresh)
+        out = [b"".join([known[w] for w in words]) for words in split]
+        for w in fresh:
+            if len(w) > _LONGEST:
+                del known[w]
+        if len(known) > _CACHED:
+            self.old, self.young = known, {}
         return out
 
 
+def splits_at_blanks(encoder: Encoder) -> bool:
+    """Whether the vocabulary gives a text's ids word by word, by a text of many kinds of words."""
+    probe = "".join(f"{a}{b}{c}" for a in ("It's", "ÉCOLE", "12.5%", "漢字", "...", "e\u0301") for b in (" ", "\n\n", "\t ") for c in ("a", "'s", "1", "-", "ß", "Σ"))
+    whole = encoder._packed([probe, f" {probe} "])
+    return whole == [b"".join(encoder._packed([w.decode() for w in probe.encode().split()]))] * 2
+
+
 _encoders: dict[tuple, Encoder] = {}
 
 
-def _encoder(vocabulary: str, wide: bool) -> Encoder:
-    if (vocabulary, wide) not in _encoders:
+def _encoder(*kind) -> Encoder:
+    if kind not in _encoders:
         _encoders.clear()
-        _encoders[vocabulary, wide] = Encoder(vocabulary, wide)
-    return _encoders[vocabulary, wide]
+        _encoders[kind] = Encoder(*kind)
+    return _encoders[kind]
 
 
 def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> dict:
@@ -88,12 +141,14 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col
 
     ``end_id`` follows each document's ids. NULL and empty texts are documents with that id only;
     a NULL id comes first; rows with the same id are put in the order of their texts; other
-    columns don't matter. An empty table gives a store without parts.
+    columns don't matter. An empty table gives a store without parts. Ids must be whole numbers, or texts
+    of such; any other id raises.
     """
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
     wide = max(Tokenizer.from_file(vocabulary).get_vocab_size(with_added_tokens=True) - 1, end_id) > 0xFFFF
+    by_words = splits_at_blanks(_encoder(vocabulary, wide))
     fs, folder = _fs(path)
     fs.create_dir(folder, recursive=True)
 
@@ -101,16 +156,16 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col
         part = TaskContext.get().partitionId()
         fs, folder = _fs(path)
         own = f"{folder}/.{part:05d}-{TaskContext.get().taskAttemptId()}"
-        encode, end = _encoder(vocabulary, wide), np.array([end_id], dtype="<u4" if wide else "<u2").tobytes()
+        encode, end = _encoder(vocabulary, wide, by_words), np.array([end_id], dtype="<u4" if wide else "<u2").tobytes()
         starts, ids, at = [0], [], 0
         with fs.open_output_stream(f"{own}.bin") as out:
             for batch in batches:
-                for doc, text in zip(batch[0], batch[1]):
-                    blob = encode(text) + end
-                    out.write(blob)
-                    at += len(blob) // (4 if wide else 2)
-                    starts.append(at)
-                    ids.append(NO_ID if pd.isna(doc) else int(doc))
+                for some in range(0, len(batch[0]), _TOGETHER):
+                    for doc, blob in zip(batch[0][some:some + _TOGETHER], encode.encode_all(batch[1][some:some + _TOGETHER])):
+                        out.write(blob + end)
+                        at += len(blob) // (4 if wide else 2) + 1
+                        starts.append(at)
+                        ids.append(NO_ID if pd.isna(doc) else int(doc))
         for name, values in (("idx", starts), ("ids", ids)):
             with fs.open_output_stream(f"{own}.{name}") as out:
                 out.write(np.array(values, dtype="<i8").tobytes())

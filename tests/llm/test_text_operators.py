@@ -311,3 +311,20 @@ def test_held_out_accuracy(spark):
 def test_crc_part(spark, docs_of):
     got = docs_of(ODD).select("doc_id", toxicity.in_part("doc_id", 5).alias("p")).collect()
     assert all(r["p"] == (None if r["doc_id"] is None else zlib.crc32(str(r["doc_id"]).encode()) % 5) for r in got)
+
+
+def test_words_encoded_together_give_the_library_ids():
+    from phenogrid.llm.token_files import Encoder, splits_at_blanks
+
+    encode, tokenizer = Encoder(WORDS, False), Tokenizer.from_file(WORDS)
+    r = random.Random(11)
+    alphabet = "abcXYZéÉß×漢İΣς'’.,!-1²é\U0001f600_<|>"
+    texts = [" ".join("".join(r.choices(alphabet, k=r.randint(1, 9))) for _ in range(r.randint(0, 60))) for _ in range(300)]
+    texts += ["<|endoftext|> a <|startoftext|>b", "x" * 3000, None, "", "a\x1cb c\x85d e　f"]
+    for text, ids in zip(texts, encode.encode_all(texts)):
+        assert np.frombuffer(ids, "<u2").tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, text
+    # a vocabulary whose tokens hold the blank before a word is given whole texts
+    blanks = public_tokenizers.path("byte_bpe_50k.json")
+    assert splits_at_blanks(encode) and not splits_at_blanks(Encoder(blanks, False))
+    whole = Encoder(blanks, False, False)
+    assert np.frombuffer(whole("a  text of words"), "<u2").tolist() == Tokenizer.from_file(blanks).encode("a  text of words", add_special_tokens=False).ids
