@@ -8,6 +8,8 @@ cte("rq", f"""select p.plot_id request_id, h.mws_id, {SNAP.format(d="(date '2000
 ORACLE = {
     "k01_streaming_fortnights": f"""select cast(user_id as varchar) mws_id, date '2024-01-01' + cast(14*(date_diff('day', date '2024-01-01', cast(ts as date)) // 14) as int) step_start,
         count(*) n, {r('avg(value)')} mean_value, {r('sum(value*1000)')} sum_value from events group by 1,2""",
+    "k01_late_observations": f"""select cast(user_id as varchar) mws_id, date '2024-01-01' + cast(14*(date_diff('day', date '2024-01-01', cast(ts as date)) // 14) as int) step_start,
+        count(*) n, {r('avg(value)')} mean_value, {r('sum(value)*1000')} sum_value from events where ts is not null group by 1,2""",
     "k02_streaming_requests": q(f"""select request_id, t.mws_id, t.anchor, t.target, round_even(cur, 3) forecast_ndvi, round_even(z, 2) z, {COND.format(z='z')} as "condition" from (
         select t.*, c.cur, (c.cur - b.m)/greatest(coalesce(b.s, 0.05::double), 0.05::double) z from rq t
         left join ({base('rq')}) b on b.mws_id = t.mws_id and b.target = t.target
