@@ -9,13 +9,20 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from phenogrid.functions.geo import distance_km, in_rings, location_key
+from phenogrid.operators.sphere_index import SphereIndex
 from phenogrid.schema import EARTH_KM
+from phenogrid.session import cut_lineage
 
 _AXES = ("_x", "_y", "_z")
+# targets of a search that may be sent to every task: some 10 MB of positions and ids
+BROADCAST_TARGETS = 200_000
 
 
 def chord(km: float) -> float:
@@ -67,9 +74,14 @@ def nearest_k(sites: DataFrame, site_key: list[str], targets: DataFrame, target_
     targets of a few smallest cubes, whether it lies in a city, beside one or an ocean away.
     ``k=None`` asks for every target within ``max_km``. Sites must be distinct rows; ``eligible``
     may use site columns and the ``group`` columns of the targets.
+
+    Without ``eligible``, up to BROADCAST_TARGETS targets are sent to every task instead (counted before), where an
+    index of them answers the sites without any exchange.
     """
     sizes = _sizes(start_km, max_km)
     top = len(sizes) - 1
+    if eligible is None and k is not None and (held := _few(targets.select(target_id, *target_at, *group))) is not None:
+        return _nearest_of_few(sites.select(*dict.fromkeys([*site_key, *site_at])), site_key, held, target_id, k, site_at, target_at, max_km)
     ok = eligible if eligible is not None else F.lit(True)
     keep = [target_id, *target_at, *group]
     km = distance_km(*site_at, *target_at)
@@ -110,6 +122,36 @@ def nearest_k(sites: DataFrame, site_key: list[str], targets: DataFrame, target_
         *site_key, *keep, "km", "rank")
 
 
+def _few(targets: DataFrame) -> DataFrame | None:
+    """The targets, stored, if they are few enough to be sent to every task."""
+    held = cut_lineage(targets.limit(BROADCAST_TARGETS + 1))
+    return held if held.count() <= BROADCAST_TARGETS else None
+
+
+def _nearest_of_few(sites: DataFrame, site_key: list[str], targets: DataFrame, target_id: str, k: int, site_at, target_at,
+                    max_km: float | None) -> DataFrame:
+    """The search where the targets fit into every task: sites meet an index of them and are not shuffled."""
+    spark = sites.sparkSession
+    lat, lon = target_at
+    known = targets.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).orderBy(target_id).toPandas()
+    shared = spark.sparkContext.broadcast(known)
+    taken = [c for c in targets.columns if c not in sites.columns]
+    schema = T.StructType([*sites.schema.fields, *(targets.schema[c] for c in taken), T.StructField("rank", T.IntegerType())])
+
+    def search(batches):
+        rows = shared.value
+        index = SphereIndex(rows[lat], rows[lon], np.arange(len(rows)))
+        for batch in batches:
+            site, target, rank = index.nearest(batch[site_at[0]].astype(float), batch[site_at[1]].astype(float), k)
+            parts = [batch.iloc[site].reset_index(drop=True), rows[taken].iloc[target].reset_index(drop=True)]
+            yield pd.concat([*parts, pd.Series(rank, name="rank", dtype="int32")], axis=1)
+
+    out = sites.mapInPandas(search, schema).withColumn("km", distance_km(*site_at, *target_at))
+    if max_km is not None:
+        out = out.where(F.col("km") <= max_km)
+    return out.select(*site_key, *targets.columns, "km", "rank")
+
+
 def _closest(near: DataFrame, site_key: list[str], xyz, size: float, k: int, limit: float) -> DataFrame:
     """Cubes (with their number of targets) that may hold one of a site's k nearest."""
     low = [F.col(a) * size - x for a, x in zip(_AXES, xyz)]
