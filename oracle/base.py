@@ -56,7 +56,9 @@ select cast(l_suppkey as varchar) mws_id, cast(l_shipdate as date) obs_date,
 from lineitem)""")
 
 cte("grid", f"""
-select mws_id, cast(step as int) step, {EPOCH} + cast(step as int)*14 as date from loc, range(0,179) t(step)""", "loc")
+select mws_id, cast(step as int) step, {EPOCH} + cast(step as int)*14 as date from loc, (
+  select unnest(range(lo, hi + 1)) step from (select min(step) lo, max(step) hi from obs))""", "loc", "obs")
+cte("years", "select unnest(range(lo + 1, hi + 1)) y from (select year(min(obs_date)) lo, year(max(obs_date)) hi from obs)", "obs")
 
 cte("src", f"""
 select c.*, b.baseline_ndvi_mean, b.baseline_ndvi_std from (
@@ -83,7 +85,7 @@ on b.mws_id = c.mws_id""", "loc", "grid", "obs")
 cte("tiles", """
 select mws_id, cast(y as int) tile_year, 'Q' || qq period,
   ((loc_no*7 + y*13 + qq*29) % 100)/100.0::double coverage
-from loc, range(1996,2002) t(y), range(1,5) u(qq) where (loc_no+y+qq) % 5 <> 0""", "loc")
+from loc, years, range(1,5) u(qq) where (loc_no+y+qq) % 5 <> 0""", "loc", "years")
 
 cte("plots", """
 select *, 'd' || cast(floor(lat*2) as int) || '_t' || cast(floor(lon*2) as int) tile from (

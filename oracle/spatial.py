@@ -54,10 +54,11 @@ cte("home", f"""select plot_id, mws_id, district, km from (select plot_id, mws_i
 cte("pts", """select plot_id, ord, clat, clon from t1 join cells on cell_id = ref_id
   union all select plot_id, ord, clat, clon from t2 join cells on cell_id = ref_id where kind = 'cropland'
   union all select plot_id, ord, vlat, vlon from t2 join veg on veg_id = ref_id where kind = 'vegetation'""", "t1", "t2", "cells", "veg")
-cte("tasks", f"""select h.plot_id, 0 ord, h.mws_id from home h where cast(h.mws_id as bigint) % 8 <> 5 union all
+cte("seen", 'select distinct mws_id from obs where "NDVI_raw" is not null', "obs")
+cte("tasks", f"""select h.plot_id, 0 ord, h.mws_id from home h where h.mws_id in (select mws_id from seen) union all
   select plot_id, ord, mws_id from (select plot_id, ord, mws_id from (select plot_id, ord, mws_id, {km('clat','clon','latitude','longitude')} d from pts, sloc)
-   qualify row_number() over (partition by plot_id, ord order by d, mws_id) = 1) where cast(mws_id as bigint) % 8 <> 5
-   and plot_id in (select plot_id from home where cast(mws_id as bigint) % 8 <> 5)""", "home", "pts", "sloc")
+   qualify row_number() over (partition by plot_id, ord order by d, mws_id) = 1) where mws_id in (select mws_id from seen)
+   and plot_id in (select plot_id from home where mws_id in (select mws_id from seen))""", "home", "pts", "sloc", "seen")
 cte("samp", f"""select p.plot_id, p.lat, p.lon, p.regime, case when n1 > 0 then 'own tile' when n2 > 0 and nveg = 0 then 'proxy' when n2 > 0 then 'vegetation' else 'out of coverage' end coverage,
   coalesce(n1, n2, 0) n_points, case when n1 > 0 then village end village, coalesce(n1, n2, 0) < 12 small_sample,
   case when n1 is null and nveg = 0 then ftile end proxy_tile, case when n1 is null and nveg = 0 then round_even(fkm, 1) end proxy_km,

@@ -26,11 +26,10 @@ ORACLE = {
     "a08_first_test_predictions": q(f"""select s.mws_id, target_date, {r('actual')} actual, {r('forecast')} forecast, {r('latitude')} latitude, {r('longitude')} longitude
         from scored s join loc l using (mws_id) where split = 'test' order by s.mws_id, target_date limit 200""", "scored", "loc"),
     "a09_evaluation_rows": q(f"""select g.mws_id, g.date target_date, {rs(['actual', 'forecast', 'current', 'clim'])}, {r('abs(forecast - actual)')} abs_error,
-        case when actual is null then 'ERROR: no actual NDVI at target' else 'OK' end status from grid g left join scored s on s.mws_id = g.mws_id and s.target_date = g.date
-        where g.step % 5 = 0""", "grid", "scored").replace('(current)', '("current")'),
-    "a10_tile_jobs": q("select mws_id, cast(y as int) tile_year, 'Q' || qq period from loc, range(1996,2002) t(y), range(1,5) u(qq)", "loc"),
+        case when actual is null then 'ERROR: no actual NDVI at target' else 'OK' end status from grid g left join scored s on s.mws_id = g.mws_id and s.target_date = g.date""", "grid", "scored").replace('(current)', '("current")'),
+    "a10_tile_jobs": q("select mws_id, cast(y as int) tile_year, 'Q' || qq period from loc, years, range(1,5) u(qq)", "loc", "years"),
     "a11_job_outcomes": q("""select case when t.mws_id is null then 'failed' when coverage < 0.75 and coverage >= 0.05 then 'low_coverage' else 'ok' end outcome, count(*) n
-        from loc l cross join range(1996,2002) y(y) cross join range(1,5) u(qq) left join tiles t on t.mws_id = l.mws_id and t.tile_year = y and t.period = 'Q' || qq group by 1""", "loc", "tiles"),
+        from loc l cross join years cross join range(1,5) u(qq) left join tiles t on t.mws_id = l.mws_id and t.tile_year = y and t.period = 'Q' || qq group by 1""", "loc", "years", "tiles"),
     "a12_request_list": q(f"select {r('lat')} lat, {r('lon')} lon, case when plot_id % 2 = 0 then '2001-06-01' end date from plots", "plots"),
 }
 ORACLE["a09_evaluation_summary"] = q("""select count(*) n_samples, printf('paired n=%d | R2 %.4f | MAE %.4f | RMSE %.4f | bias %+.4f | corr %.3f', count(*),

@@ -89,6 +89,11 @@ def lens(key: Column, season_col: Column, fallow: Column) -> Column:
     return ladder([(key == "wet", one("wet")), (key == "dry_fallow", one("dry_fallow"))], one("dry"))
 
 
+#: Every state that a decision may be in: three attributions, two regimes, four severities, three confidences.
+STATES = {"attribution": ("regional", "local", "none"), "regime": ("rain-fed", "irrigated"),
+          "severity": ("well_below", "below", "normal", "above"), "effective_confidence": ("low", "medium", "high")}
+
+
 def with_rules(df: DataFrame, rules: DataFrame) -> DataFrame:
     """Attach the whole (17-row) table as one ordered array: matching then needs no shuffle."""
     packed = rules.agg(F.array_sort(F.collect_list(F.struct(*RULE_COLUMNS))).alias("_rules"))

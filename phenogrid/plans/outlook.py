@@ -117,28 +117,48 @@ def j01(spark, d):
 
 
 def facts(spark, d) -> DataFrame:
-    """One advisory request per location and anchor: own z, the district as area, quality and trend."""
+    """One row per advisory request (location and anchor): own z, the district as area, quality, trend and status.
+
+    A request without a reading, a baseline or an area stays, with NULLs and the reason as its ``status``.
+    """
     src = history(spark, d)
-    pts = materialise(scored_points(spark, d, src).where("z is not null"), "points")
+    pts = materialise(scored_points(spark, d, src), "points")
     areas = area.summarise(pts, ["district", "anchor"], bounded=False)
     req = requests(spark, d).select("mws_id", "anchor")
     views = quality.clear_view(req, src, "anchor").select("mws_id", "anchor", "clear_view")
     trends = anomaly.recent_anomalies(req, src, "anchor").select("mws_id", "anchor", anomaly.trend(F.col("recent")).alias("trend"))
+    return assemble(pts, areas, views, trends)
+
+
+def assemble(pts: DataFrame, areas: DataFrame, views: DataFrame, trends: DataFrame) -> DataFrame:
+    """Requests with what is known of each; nothing that is missing takes a request away."""
     n = F.col("loc_no")
     return (
         pts.select("mws_id", "anchor", "target", "loc_no", "district", "tehsil", F.col("latitude").alias("lat"),
                    F.col("longitude").alias("lon"), F.col("z").alias("plot_z"))
-        .join(areas, ["district", "anchor"]).join(views, ["mws_id", "anchor"]).join(trends, ["mws_id", "anchor"])
+        .join(areas, ["district", "anchor"], "left").join(views, ["mws_id", "anchor"], "left").join(trends, ["mws_id", "anchor"], "left")
         .withColumns({
-            "clear_view": F.when(n % 23 != 0, F.least(F.col("clear_view") + (n % 4) * 0.1, F.lit(1.0))),
+            "status": F.when(F.col("plot_z").isNull(), "no data at the plot").when(F.col("n").isNull(), "no points with data").otherwise("ok"),
+            "trend": F.coalesce("trend", F.lit("unknown")),
+            "clear_view": F.when(n % 23 != 0, F.when(F.col("clear_view").isNotNull(), F.least(F.col("clear_view") + (n % 4) * 0.1, F.lit(1.0)))),
             "regime": F.when(n % 3 == 0, "rain-fed").when(n % 3 == 1, "irrigated"), "fallow": n % 19 == 0,
             "conf_cap": F.when(n % 7 == 0, "medium"), "target_month": F.month("target"),
             "village": F.when(n % 5 == 0, F.concat(F.lit("village "), n.cast("string"))),
             "normals": F.when(n % 4 == 0, F.transform(F.sequence(F.lit(1), F.lit(12)), lambda m: ((m * n) % 13).cast("double")))}))
 
 
+def answered(f: DataFrame, step) -> DataFrame:
+    """``step`` of the facts; what it adds is NULL where a request's status says that there is no answer."""
+    out = step(f)
+    return out.withColumns({c: F.when(F.col("status") == "ok", F.col(c)) for c in out.columns if c not in f.columns})
+
+
+def derived(spark, d) -> DataFrame:
+    return answered(facts(spark, d), rules.derive)
+
+
 def decided(spark, d) -> DataFrame:
-    return rules.decide(facts(spark, d), rules.default_rules(spark))
+    return answered(facts(spark, d), lambda f: rules.decide(f, rules.default_rules(spark)))
 
 
 ID = ["mws_id", "anchor"]
@@ -156,17 +176,17 @@ def j03(spark, d):
 
 @query("j04_attribution")
 def j04(spark, d):
-    return rules.derive(facts(spark, d)).select(*ID, "plot_z", "pct_below", "attribution")
+    return derived(spark, d).select(*ID, "plot_z", "pct_below", "attribution")
 
 
 @query("j05_data_quality")
 def j05(spark, d):
-    return rules.derive(facts(spark, d)).select(*ID, rounded("clear_view", 4).alias("clear_view"), "data_quality")
+    return derived(spark, d).select(*ID, rounded("clear_view", 4).alias("clear_view"), "data_quality")
 
 
 @query("j06_confidence")
 def j06(spark, d):
-    return rules.derive(facts(spark, d)).select(*ID, "overall_confidence", "effective_confidence", "conf_capped", "data_poor_gate")
+    return derived(spark, d).select(*ID, "overall_confidence", "effective_confidence", "conf_capped", "data_poor_gate")
 
 
 @query("j07_season")
@@ -202,11 +222,15 @@ def j11(spark, d):
 
 @query("j12_rule_reachability")
 def j12(spark, d):
-    """Number of rules each occurring state matches (exactly one, if the table is sound)."""
-    df = rules.with_rules(rules.derive(facts(spark, d)), rules.default_rules(spark))
-    df = df.withColumn("regime", F.coalesce("regime", F.lit("rain-fed")))
-    n = F.size(rules.matches(F.col("attribution"), F.col("regime"), F.col("severity"), F.col("effective_confidence")))
-    return df.groupBy("attribution", "regime", "severity", "effective_confidence").agg(F.count("*").alias("n_rows"), F.max(n).alias("n_rules"), F.min(n).alias("min_rules"))
+    """How many rules each possible state matches, and the requests that are in it."""
+    every = spark.range(1)
+    for name, values in rules.STATES.items():
+        every = every.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    states = rules.with_rules(every.drop("id"), rules.default_rules(spark))
+    n = F.size(rules.matches(*[F.col(c) for c in rules.STATES]))
+    occurring = derived(spark, d).where("status = 'ok'").withColumn("regime", F.coalesce("regime", F.lit("rain-fed"))) \
+        .groupBy(*rules.STATES).agg(F.count("*").alias("n_rows"))
+    return states.select(*rules.STATES, n.alias("n_rules")).join(occurring, list(rules.STATES), "left").fillna({"n_rows": 0})
 
 
 @query("j13_message")

@@ -89,13 +89,13 @@ def f12(spark, d):
 
 
 def forecast_tasks(spark, d):
-    """Work table of all plots: the plot and its points with the location each is read from."""
+    """Work table of all plots: the plot and its points with the location each is read from, if it has any reading."""
     plots, *rest = _inputs(spark, d)
     points, summary = sampling.sample_points(plots, *rest)
     loc = study_locations(spark, d)
     homes = spatial.nearest_profile(plots, loc, ["mws_id"])
     placed = spatial.nearest_profile(points, loc, ["mws_id"], at=("clat", "clon"))
-    known = loc.where("loc_no % 8 <> 5")
+    known = t.observations(spark, d).where("NDVI_raw is not null").select("mws_id").distinct()
     return sampling.work_table(homes, placed, known), summary
 
 

@@ -82,7 +82,8 @@ def a08(spark, d):
 
 @query("a09_evaluation_rows")
 def a09(spark, d):
-    pairs = t.grid(spark, d).where("step % 5 = 0").select("mws_id", F.col("date").alias("target_date"))
+    """Every location and step of the grid: scored, or with the reason why not."""
+    pairs = t.grid(spark, d).select("mws_id", F.col("date").alias("target_date"))
     return _doubles(sinks.evaluation_rows(pairs, eplan.scored(spark, d)))
 
 
@@ -93,12 +94,12 @@ def a09b(spark, d):
 
 @query("a10_tile_jobs")
 def a10(spark, d):
-    return sinks.tile_jobs(t.locations(spark, d).select("mws_id"), list(range(1996, 2002)), ["Q1", "Q2", "Q3", "Q4"])
+    return sinks.tile_jobs(t.locations(spark, d).select("mws_id"), t.tile_years(spark, d), ["Q1", "Q2", "Q3", "Q4"])
 
 
 @query("a11_job_outcomes")
 def a11(spark, d):
-    jobs = sinks.tile_jobs(t.locations(spark, d).select("mws_id"), list(range(1996, 2002)), ["Q1", "Q2", "Q3", "Q4"])
+    jobs = sinks.tile_jobs(t.locations(spark, d).select("mws_id"), t.tile_years(spark, d), ["Q1", "Q2", "Q3", "Q4"])
     cached = t.tiles(spark, d).withColumn("coverage", F.when(F.col("coverage") >= 0.05, F.col("coverage")))
     return sinks.job_outcomes(jobs, cached)
 

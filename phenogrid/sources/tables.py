@@ -6,13 +6,15 @@ Every function reads only the columns it needs, so the scan is pruned to them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from phenogrid.schema import RADIATION, WIND
+from phenogrid.schema import RADIATION, STEP_DAYS, WIND
 
+#: Origin of the 14-day grid; the steps and years that are used come from the observations.
 EPOCH = "1995-01-02"
-STEPS = 179
 SENSORS = [
     "NDVI_raw", "total_precipitation_m", "runoff_m", "evaporation_m", "temperature_2m",
     "dewpoint_temperature_2m", *WIND, *RADIATION, "sm_surface", "sm_rootzone", "SummaryQA",
@@ -66,9 +68,30 @@ def observations(spark, sf_dir) -> DataFrame:
     )
 
 
+def _span(spark, sf_dir):
+    """First and last observation date; one pass over one column."""
+    day = F.col("l_shipdate").cast("date")
+    return table(spark, sf_dir, "lineitem").agg(F.min(day).alias("first"), F.max(day).alias("last")).first()
+
+
+def calendar(spark, sf_dir) -> Column:
+    """The grid's steps from the first observation to the last, as an array; none without observations."""
+    span = _span(spark, sf_dir)
+    if span["first"] is None:
+        return F.array().cast("array<int>")
+    low, high = ((day - date.fromisoformat(EPOCH)).days // STEP_DAYS for day in (span["first"], span["last"]))
+    return F.sequence(F.lit(low), F.lit(high))
+
+
+def tile_years(spark, sf_dir) -> list[int]:
+    """Years with composites: from the first year after the one of the first observation to that of the last."""
+    span = _span(spark, sf_dir)
+    return [] if span["first"] is None else list(range(span["first"].year + 1, span["last"].year + 1))
+
+
 def grid(spark, sf_dir) -> DataFrame:
     """Every location on every step of the calendar (no shuffle: an explode per location)."""
-    return locations(spark, sf_dir).select("mws_id", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))).alias("step")) \
+    return locations(spark, sf_dir).select("mws_id", F.explode(calendar(spark, sf_dir)).alias("step")) \
         .withColumn("date", F.expr(f"date_add(date'{EPOCH}', step * 14)"))
 
 
@@ -89,7 +112,7 @@ def source_panel(spark, sf_dir) -> DataFrame:
     loc = locations(spark, sf_dir)
     # a tenth of the locations, one district and one state have no surface-soil series at all
     no_soil = (F.col("loc_no") % 10 == 0) | (F.col("district") == "3") | (F.col("state") == "4")
-    cells = loc.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1)))).join(
+    cells = loc.withColumn("step", F.explode(calendar(spark, sf_dir))).join(
         agg, ["mws_id", "step"], "left")
     whole = Window.partitionBy("mws_id")
     return (
@@ -105,7 +128,7 @@ def tiles(spark, sf_dir) -> DataFrame:
     """Registry of quarterly composites; about a fifth are absent and many are cloudy."""
     return (
         locations(spark, sf_dir).select("mws_id", "loc_no")
-        .withColumn("tile_year", F.explode(F.sequence(F.lit(1996), F.lit(2001))))
+        .withColumn("tile_year", F.explode(F.array(*[F.lit(y) for y in tile_years(spark, sf_dir)]).cast("array<int>")))
         .withColumn("q", F.explode(F.sequence(F.lit(1), F.lit(4))))
         .where((F.col("loc_no") + F.col("tile_year") + F.col("q")) % 5 != 0)
         .select(
