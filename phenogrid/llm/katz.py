@@ -36,6 +36,7 @@ from phenogrid.session import materialise
 
 BLOCK_TOKENS = 4_000_000
 BUCKET_TOKENS = 4_000_000
+_SOME = 1 << 18
 KEPT = 5
 FLOOR = 0.01
 #: The end token: words have no blanks, so no word is equal to it.
@@ -175,46 +176,71 @@ def _bucket(h: np.ndarray, w: np.ndarray, uni: Unigrams, buckets: int) -> tuple[
     return ((mix(mix(h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + part)) >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64), parts
 
 
+def _buckets_of(h: np.ndarray, w: np.ndarray, uni: Unigrams, buckets: int) -> np.ndarray:
+    """Buckets of many bigrams, some at a time: the hashes are wider than their result."""
+    to = np.empty(len(w), dtype=np.int32)
+    for at in range(0, len(w), _SOME):
+        to[at:at + _SOME] = _bucket(h[at:at + _SOME].astype(np.int64), w[at:at + _SOME].astype(np.int64), uni, buckets)[0]
+    return to
+
+
 def _spread(uni, buckets: int):
-    """From a block with its ids: what each text has by itself, and the bigrams for each bucket."""
+    """From a block with its ids: what each text has by itself, and the bigrams for each bucket.
+
+    A block's tokens are held in 32 bits each; values of words are looked up per distinct word.
+    """
+    def piece(kind, bucket, block, data):
+        return pa.RecordBatch.from_pylist([{"kind": kind, "bucket": bucket, "block": block, "context": None, "nums": None, "data": data}], schema=_PIECES)
+
     def run(batches):
         u: Unigrams = uni.value
         for batch in batches:
-            for row in batch.to_pylist():
-                n_words = row["n_words"]
-                ids = np.full(n_words, UNKNOWN, dtype=np.int64)
-                packed = np.array(row["ids"] or [], dtype=np.int64)
-                ids[packed >> 32] = packed & 0xFFFFFFFF
-                w = ids[_unplanes(row["codes"], "<u4")]
-                lengths = np.array(row["lengths"], dtype=np.int64)
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i] for name in batch.schema.names}
+                block = row["block"].as_py()
+                ids = np.full(row["n_words"].as_py(), UNKNOWN, dtype=np.int32)
+                if row["ids"].is_valid:
+                    packed = row["ids"].values.to_numpy()
+                    ids[packed >> 32] = packed & 0xFFFFFFFF
+                    del packed
+                codes = _unplanes(row["codes"].as_py(), "<u4")
+                lengths, learn = row["lengths"].values.to_numpy().astype(np.int64), np.array(row["learn"].as_py(), dtype=np.uint32)
                 starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+                doc = np.repeat(np.arange(len(lengths), dtype=np.uint32), lengths)
+                there, logs = u.count(ids) > 0, np.log10(u.p(ids))
+                # a token without a seen context: the one before it is unknown, or no text was learned from
+                alone = np.empty(len(codes), dtype=bool)
+                alone[1:] = ~there[codes[:-1]]
+                alone[starts] = u.texts == 0
+                direct = np.bincount(doc[alone], logs[codes[alone]], len(lengths))
+                base = np.bincount(doc, u.base(ids)[codes], len(lengths))
+                known = np.bincount(doc[there[codes]], minlength=len(lengths))
+                yield piece("text", -1 - block, block, _pack(
+                    ids=row["doc_ids"].as_py(), learn=row["learn"].as_py(), n=lengths, known=known, base=base, direct=direct))
+                w = ids[codes]
+                del codes, logs, there
                 h = np.empty_like(w)
                 h[1:] = w[:-1]
                 h[starts] = START
-                doc = np.repeat(np.arange(len(lengths)), lengths)
-                alone = (h == UNKNOWN) | (u.count(h) == 0)
-                direct = np.bincount(doc[alone], np.log10(u.p(w[alone])), len(lengths))
-                base = np.bincount(doc, u.base(ids)[_unplanes(row["codes"], "<u4")], len(lengths))
-                known = np.bincount(doc[u.count(w) > 0], minlength=len(lengths))
-                yield pa.RecordBatch.from_pylist([{
-                    "kind": "text", "bucket": -1 - row["block"], "block": row["block"], "context": None, "nums": None,
-                    "data": _pack(ids=row["doc_ids"], learn=row["learn"], n=lengths, known=known, base=base, direct=direct)}], schema=_PIECES)
                 h, w, doc = h[~alone], w[~alone], doc[~alone]
-                flag = doc.astype(np.uint32) << 1 | np.array(row["learn"], dtype=np.uint32)[doc]
-                to, _ = _bucket(h, w, u, buckets)
-                key = h << 32 | w
-                order = np.lexsort((key, to))
-                key, to, flag = key[order], to[order], flag[order]
-                cuts = np.flatnonzero(np.diff(to)) + 1
-                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(to)]):
+                del alone
+                flag = doc << np.uint32(1) | learn[doc]
+                del doc
+                to = _buckets_of(h, w, u, buckets)
+                order = np.argsort(to, kind="stable")
+                to = to[order]
+                cuts = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)]
+                for a, b in zip(cuts, cuts[1:]):
                     if a == b:
                         continue
-                    k = key[a:b]
+                    own = order[a:b]
+                    k = h[own].astype(np.int64) << 32 | w[own]
+                    by = np.argsort(k, kind="stable")
+                    k = k[by]
                     new = np.concatenate(([True], k[1:] != k[:-1]))
-                    yield pa.RecordBatch.from_pylist([{
-                        "kind": "bigrams", "bucket": int(to[a]), "block": row["block"], "context": None, "nums": None,
-                        "data": pickle.dumps((_planes(np.diff(k[new], prepend=0)), _planes(np.diff(np.append(np.flatnonzero(new), b - a)).astype("<u4")),
-                                              _planes(flag[a:b])))}], schema=_PIECES)
+                    yield piece("bigrams", int(to[a]), block, pickle.dumps((
+                        _planes(np.diff(k[new], prepend=0)), _planes(np.diff(np.append(np.flatnonzero(new), b - a)).astype("<u4")),
+                        _planes(flag[own[by]]))))
     return run
 
 
