@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from phenogrid.session import materialise
 
 BLOCK_TOKENS = 4_000_000
-BUCKET_TOKENS = 4_000_000
+BUCKET_TOKENS = 2_000_000
 _SOME = 1 << 18
 KEPT = 5
 FLOOR = 0.01
