@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
@@ -49,12 +48,10 @@ def residual_model(samples: DataFrame, static, kind: str = "gbt", emb: str | Non
 
 
 def with_vector(samples: DataFrame, static, emb: str | None = None) -> DataFrame:
-    parts = {"_h": array_to_vector(F.flatten("history"))}
-    if emb:
-        parts["_e"] = array_to_vector(F.col(emb))
-    df = samples.withColumns(parts)
-    inputs = ["_h", *static, "forecast_precip_sum", "forecast_temp_mean", *(["_e"] if emb else [])]
-    return VectorAssembler(inputCols=inputs, outputCol="features").transform(df).drop(*parts)
+    """``features``: the flattened history, the statics, the lead's aggregates and the tile vector, in this order."""
+    scalars = F.array(*[F.col(c).cast("double") for c in (*static, "forecast_precip_sum", "forecast_temp_mean")])
+    parts = [F.flatten("history"), scalars, *([F.col(emb)] if emb else [])]
+    return samples.withColumn("features", array_to_vector(F.concat(*parts)))
 
 
 def predict(model, samples: DataFrame, static, scaler: DataFrame, emb: str | None = None) -> DataFrame:

@@ -53,24 +53,29 @@ def climatology_historical(requests: DataFrame, history: DataFrame, target: str
     return _take(out, ok)
 
 
-def climatology_future(requests: DataFrame, history: DataFrame, target: str = "target") -> DataFrame:
+def climatology_future(requests: DataFrame, history: DataFrame, target: str = "target", cutoff: str | None = None) -> DataFrame:
     """Same season of an earlier year: the row nearest in day-of-year and the six before it.
 
+    With ``cutoff``, a date column of the requests, rows after it aren't known yet.
+
     A year of history is one row with its (at most 27) fortnights in order, so a request meets
     one row per year and picks inside the array.
     """
     years = history.groupBy("mws_id", F.year("date").alias("_y")).agg(
         F.array_sort(F.collect_list(F.struct("date", "precipitation", "temperature_2m"))).alias("_rows"))
-    asked = requests.select("mws_id", target).distinct()
+    asks = ["mws_id", target, *([cutoff] if cutoff else [])]
+    asked = requests.select(*asks).distinct()
     doy = F.dayofyear(F.col(target))
     met = asked.join(years, "mws_id").where(F.col("_y") < F.year(F.col(target)))
+    if cutoff:
+        met = met.withColumn("_rows", F.filter("_rows", lambda x: x["date"] <= F.col(cutoff))).where(F.size("_rows") > 0)
     apart = F.transform("_rows", lambda x: F.least(F.abs(F.dayofyear(x["date"]) - doy), 365 - F.abs(F.dayofyear(x["date"]) - doy)))
     met = met.withColumn("_apart", apart).withColumn("_gap", F.array_min("_apart"))
     met = met.withColumn("_pos", F.array_position("_apart", F.col("_gap"))).where(F.col("_pos") >= FORECAST_HORIZON)
-    best = met.groupBy("mws_id", target).agg(F.min_by(
+    best = met.groupBy(*asks).agg(F.min_by(
         F.struct("_rows", "_pos"), F.struct("_gap", "_y")).alias("_b"))
-    best = best.select("mws_id", target, F.slice("_b._rows", F.col("_b._pos").cast("int") - FORECAST_HORIZON + 1, FORECAST_HORIZON).alias("_win"))
-    return _take(requests.join(best, ["mws_id", target], "left"), F.col("_win").isNotNull())
+    best = best.select(*asks, F.slice("_b._rows", F.col("_b._pos").cast("int") - FORECAST_HORIZON + 1, FORECAST_HORIZON).alias("_win"))
+    return _take(requests.join(best, asks, "left"), F.col("_win").isNotNull())
 
 
 def _take(df, ok):
