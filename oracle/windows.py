@@ -134,3 +134,23 @@ ORACLE = {
         {r("median(query_time_s) filter (where status='OK')")} median_s, {r("quantile_cont(query_time_s, 0.9) filter (where status='OK')")} p90_s from flog""", "flog"),
     "g10_two_path_parity": q("""select count(*) n_rows, 0::bigint n_unpaired, 0.0::double max_diff_current, 0::bigint null_mismatch_current, 0::bigint mismatch_green, true parity_ok from psamp""", "psamp"),
 }
+
+cte("wanted", f"""select distinct mws_id, cast({SNAP.format(d='t', e='1995-01-02')} as date) target_date from (
+  select mws_id, cast(date '1998-01-01' + cast(floor({share('mws_id', 'draw')} * 1001) as int) as date) t
+  from (select * from loc order by {seeded('mws_id')}, mws_id limit 50), range(1, 11) x(draw))""", "loc")
+cte("fetched", """select mws_id, sweep_no, arg_max(status, event_id) status from flog group by 1, 2""", "flog")
+cte("tried", """select w.mws_id, w.target_date, n, w.period, w.tile_year, s.actual, s.forecast, s."current", s.clim,
+  case when f.status <> 'OK' then f.status when w.tile_year is null then 'ERROR: no quarterly tile'
+       when s.actual is null then 'ERROR: no actual NDVI at target' else 'OK' end status
+  from (select w.mws_id, w.target_date, 'Q' || quarter(w.target_date) period, cast(max(t.tile_year) as int) tile_year from wanted w
+    left join tiles t on t.mws_id = w.mws_id and t.period = 'Q' || quarter(w.target_date) and t.tile_year <= year(w.target_date) - 1
+      and t.coverage >= 0.75 and t.tile_year >= 1997 group by 1, 2) w
+  cross join range(1, 4) r(n) left join fetched f on f.mws_id = w.mws_id and f.sweep_no = n
+  left join scored s on s.mws_id = w.mws_id and s.target_date = w.target_date""", "wanted", "tiles", "fetched", "scored")
+cte("swept", """select * from tried qualify n = coalesce(min(n) filter (where status = 'OK' or status like '%no actual NDVI at target%'
+  or status like '%no quarterly tile%') over (partition by mws_id, target_date), 3)""", "tried")
+VALUES = ("actual", "forecast", "current", "clim")
+ORACLE["a09_evaluation_sweeps"] = q(f"""select mws_id, target_date, case when status = 'OK' then period end period, case when status = 'OK' then tile_year end tile_year,
+  {', '.join("case when status = 'OK' then " + r('"' + c + '"') + ' end "' + c + '"' for c in VALUES)},
+  case when status = 'OK' then {r('abs(forecast - actual)')} end abs_error, status, n attempts from swept""", "swept")
+ORACLE["a09_sweep_outcomes"] = q("select status, count(*) n, count(*) filter (where n > 1) n_retried from swept group by 1", "swept")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from phenogrid.functions.columns import round_cols
-from phenogrid.operators import features, forecast, metrics
+from phenogrid.functions.dates import snap_to_grid
+from phenogrid.operators import features, forecast, metrics, sweeps, tiles
 from phenogrid.plans import features as fplan
 from phenogrid.plans import windows as wplan
 from phenogrid.plans.registry import query
+from phenogrid.session import materialise, scratch_path
 from phenogrid.sources import tables as t
 
 
@@ -80,3 +82,40 @@ def g10(spark, d):
     looked = forecast.persistence(s.select("mws_id", "target_date", "history_end"), fplan.split_panel(spark, d), "history_end")
     by_lookup = looked.select("mws_id", "target_date", "current", (F.col("current") > 0.5).alias("green"))
     return metrics.parity(by_window, by_lookup, ["mws_id", "target_date"], ["current"], ["green"])
+
+
+def evaluator(spark, d):
+    """Evaluation of pairs in one sweep: the sweep's fetch outcome of the location, then tile and actual value."""
+    values = materialise(scored(spark, d).select("mws_id", "target_date", "actual", "forecast", "current", "clim"), "scored")
+    log = materialise(t.fetch_log(spark, d).groupBy("mws_id", "sweep_no").agg(F.max_by("status", "event_id").alias("fetched")), "fetched")
+    registry = t.tiles(spark, d)
+
+    def evaluate(pairs, sweep):
+        out = pairs.join(log.where(F.col("sweep_no") == sweep).drop("sweep_no"), "mws_id", "left")
+        out = tiles.lookup_covered(out, registry, min_year=1997).join(values, sweeps.KEY, "left")
+        status = F.when(F.col("fetched") != "OK", F.col("fetched")).when(~F.col("tile_found"), F.col("tile_status")) \
+            .when(F.col("actual").isNull(), "ERROR: no actual NDVI at target").otherwise("OK")
+        ok = F.col("status") == "OK"
+        return out.withColumn("status", status).select(
+            *sweeps.KEY, *[F.when(ok, F.col(c)).alias(c) for c in ("period", "tile_year", "actual", "forecast", "current", "clim")], "status")
+
+    return evaluate
+
+
+def settled(spark, d):
+    """Every seeded pair on the grid, after up to three sweeps."""
+    pairs = wplan.evaluation_pairs(t.locations(spark, d), 50, 10, "1998-01-01", 1000).select(
+        "mws_id", snap_to_grid("target", t.EPOCH).alias("target_date"))
+    return sweeps.sweep_until_settled(pairs, evaluator(spark, d), scratch_path(spark, "sweeps"), 3)
+
+
+@query("a09_evaluation_sweeps")
+def a09_sweeps(spark, d):
+    """The seeded evaluation set with the latest attempt of each pair."""
+    out = settled(spark, d).withColumn("abs_error", F.abs(F.col("forecast") - F.col("actual")))
+    return _rounded(out.select("mws_id", "target_date", "period", "tile_year", "actual", "forecast", "current", "clim", "abs_error", "status", "attempts"))
+
+
+@query("a09_sweep_outcomes")
+def a09_outcomes(spark, d):
+    return sweeps.error_modes(settled(spark, d))
