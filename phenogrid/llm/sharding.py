@@ -52,16 +52,18 @@ def slot_of(key: Column, size: int = TABLE) -> Column:
 
 
 def place(df: DataFrame, key: Column, names: list[str], size: int = TABLE, slot: str = "slot", shard: str = "shard") -> DataFrame:
-    """``df`` with its slot and shard; equal keys go to the same shard, no row moves.
+    """``df`` with its slot and shard; equal keys, repeated rows among them, go to the same shard, no row moves.
 
-    The key has to be a non-NULL string (see ``document_key``). Columns named like the new ones
-    are replaced. The broadcast table has exactly ``size`` rows of two numbers and a name.
+    A NULL key counts as an empty one, so its rows stay; ``document_key`` spreads rows without an id. An empty
+    table gives an empty one. Columns named like the new ones are replaced, all others stay, whatever their
+    names. The broadcast table has exactly ``size`` rows of two numbers and a name.
     """
     spark = df.sparkSession
-    table = spark.createDataFrame(
-        [(i, names[o]) for i, o in enumerate(fill_table(names, size))], "_slot int, _shard string")
-    placed = df.withColumn(slot, slot_of(key, size)).drop(shard)
-    return placed.join(F.broadcast(table), F.col(slot) == F.col("_slot")).drop("_slot").withColumnRenamed("_shard", shard)
+    names_taken = {c.lower() for c in [*df.columns, slot, shard]}
+    by, owner = (f"_{c}{'_' * sum(x.startswith(f'_{c}') for x in names_taken)}" for c in ("slot", "shard"))
+    table = spark.createDataFrame([(i, names[o]) for i, o in enumerate(fill_table(names, size))], f"{by} int, {owner} string")
+    placed = df.withColumn(slot, slot_of(F.coalesce(key, F.lit("")), size)).drop(shard)
+    return placed.join(F.broadcast(table), placed[slot] == table[by]).drop(by).withColumnRenamed(owner, shard)
 
 
 def document_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
