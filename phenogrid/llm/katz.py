@@ -1,21 +1,27 @@
-"""Katz backoff bigram model: counts over all training texts, scores for all texts.
+"""Katz backoff model of n-grams (three words unless told otherwise): counts over all training texts, scores for all texts.
 
-    P(w | h) = d_r · c(h w) / (c(h) + FLOOR)          if the bigram was seen, r its count
-             = a(h) · P(w)                            else; a(h) makes the sum over all w exactly one
+    P(w | h) = d_r · c(h w) / (c(h) + FLOOR)          if the n-gram was seen, r its count
+             = a(h) · P(w | h without its first word) else; a(h) makes the sum over all w exactly one
     P(w)     = d_r · c(w) / (N + FLOOR), and what is left over for the one class of unknown words
 
-``d_r`` are Good-Turing discounts for counts up to five; ``FLOOR`` (0.01 of an event) keeps
+A context that was never seen is shortened too, with weight one. ``d_r`` are Good-Turing discounts
+for counts up to five, for each length of n-grams its own; ``FLOOR`` (0.01 of an event) keeps
 something over for unseen words where every count is above five. Each text starts with a start
 context and ends with an end token.
 
-How the work is spread: texts are packed into blocks of at most ``BLOCK_TOKENS`` tokens with their
-own word lists, stored once. Words get dense ids in the order of their counts by joins on the word,
-so the count of an id follows from a step function of at most sqrt(2N) steps. Every bigram
-occurrence is sent once to the bucket of its context; contexts with more than a fair share of the
-tokens are split over several buckets by the next word. A bucket counts its bigrams, adds what
-seen ones give to each text, and keeps for the others its contexts' sums, from which, once the
-global Good-Turing statistics are there, the backoff weights and the rest of the scores follow.
-The counts are stored as a table with one row per bucket. No count, word or text is dropped.
+How the work is spread: texts are packed into blocks of at most ``BLOCK_TOKENS`` tokens (a longer
+text is a block of its own) with their own word lists, stored once. Words get dense ids in the
+order of their counts by joins on the word, so the count of an id follows from a step function of
+at most sqrt(2N) steps. Then there is one round for each length of n-grams, two words first. A
+block sends its distinct n-grams, each once with its count in the block's training texts, to the
+bucket of the context; so an n-gram of any frequency is one entry a block. Contexts with more than
+a fair share of the tokens are split over several buckets by the next word. A bucket adds the
+counts up, stores them (a table for each length, a row for each bucket; ``counted`` reads it), and
+answers each block with the counts of its n-grams, in the order in which they came, and with the
+sums that the weights of contexts with unseen n-grams follow from. Sums of split contexts are
+added up and joined to the blocks that need them. An n-gram's place in its bucket is its name as a
+context of the next round, so keys stay two numbers at every length. The block then evaluates its
+tokens from the shortest n-grams to the longest. No count, word or text is dropped.
 """
 
 from __future__ import annotations
@@ -34,17 +40,19 @@ from pyspark.sql import functions as F
 
 from phenogrid.session import materialise
 
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
 BUCKET_TOKENS = 2_000_000
 _SOME = 1 << 18
 KEPT = 5
+ORDER = 3
 FLOOR = 0.01
 #: The end token: words have no blanks, so no word is equal to it.
 END = "\n"
 UNKNOWN, START = (1 << 31) - 1, (1 << 31) - 2
 BLOCK = ("block long, doc_ids array<long>, learn array<boolean>, lengths array<int>, codes binary, "
          "words array<string>, counts array<int>")
-PIECE = "kind string, bucket long, block long, context long, nums array<double>, data binary"
+PIECE = "kind string, level int, bucket long, block long, context long, nums array<double>, data binary"
+PIECES = ["kind", "level", "bucket", "block", "context", "nums", "data"]
 DOC = ("doc_id long, learned boolean, n_tokens long, n_known long, train_tokens long, "
        "base_score double, score double")
 
@@ -162,186 +170,245 @@ class Unigrams:
         d = np.where(self.values <= KEPT, self.discounts[np.minimum(self.values, KEPT)], 1.0)
         return 1.0 - float((d * self.values * sizes).sum()) / (self.total + FLOOR)
 
-    def base(self, ids: np.ndarray) -> np.ndarray:
-        return np.log10((self.count(ids) + 0.1) / (self.total + 0.1 * (self.types + 1)))
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
-def _bucket(h: np.ndarray, w: np.ndarray, uni: Unigrams, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each bigram, and how many parts its context is split into."""
-    fair = max(1.0, uni.total / (4 * buckets))
-    parts = np.ceil(uni.count(h) / fair).astype(np.uint64)
-    parts = np.maximum(parts, 1)
-    mix = lambda x: (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    part = (mix(w.astype(np.uint64) + np.uint64(7)) >> np.uint64(20)) % parts
-    return ((mix(mix(h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + part)) >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64), parts
 
-
-def _buckets_of(h: np.ndarray, w: np.ndarray, uni: Unigrams, buckets: int) -> np.ndarray:
-    """Buckets of many bigrams, some at a time: the hashes are wider than their result."""
-    to = np.empty(len(w), dtype=np.int32)
-    for at in range(0, len(w), _SOME):
-        to[at:at + _SOME] = _bucket(h[at:at + _SOME].astype(np.int64), w[at:at + _SOME].astype(np.int64), uni, buckets)[0]
+def _buckets_of(context: np.ndarray, word: np.ndarray, parts: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of n-grams, some at a time; a context of several parts is divided by the next word."""
+    to = np.empty(len(word), dtype=np.int32)
+    for i in range(0, len(word), _SOME):
+        own = slice(i, i + _SOME)
+        part = (_mix(word[own].astype(np.uint64) + np.uint64(7)) >> np.uint64(20)) % parts[own].astype(np.uint64)
+        h = _mix(_mix(context[own].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + part))
+        to[own] = (h >> np.uint64(24)) % np.uint64(buckets)
     return to
 
 
-def _spread(uni, buckets: int):
-    """From a block with its ids: what each text has by itself, and the bigrams for each bucket.
+def _cuts(sorted_values: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of the runs of equal values."""
+    if not len(sorted_values):
+        return []
+    at = [0, *(np.flatnonzero(np.diff(sorted_values)) + 1).tolist(), len(sorted_values)]
+    return list(zip(at, at[1:]))
+
+
+def _discounted(count: np.ndarray, discounts: np.ndarray) -> np.ndarray:
+    return np.where(count <= KEPT, discounts[np.minimum(count, KEPT)], 1.0) * count
+
 
-    A block's tokens are held in 32 bits each; values of words are looked up per distinct word.
+class Tokens:
+    """A block's tokens and, length by length, their contexts, counts and scores.
+
+    ``context`` is the context's number or -1 if it wasn't seen, ``total`` its count, ``below`` the
+    count of the shorter one, ``count`` the token's count after that shorter one, and ``score`` the
+    log10 probability by what is known so far.
+    """
+
+    def __init__(self, data: bytes, uni: Unigrams, buckets: int):
+        x = _unpack(data)
+        ids, codes = x["words"], _unplanes(x["codes"], "<u4")
+        self.uni, self.buckets = uni, buckets
+        self.docs, self.may, self.lengths = x["docs"], x["learn"], x["lengths"].astype(np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
+        self.word = ids[codes]
+        self.count = uni.count(ids)[codes]
+        self.score = np.log10(uni.p(ids))[codes]
+        self.context = np.empty(len(codes), dtype=np.int64)
+        self.context[1:] = self.word[:-1]
+        self.context[self.starts] = START
+        self.total = uni.count(self.context)
+        self.context[self.total == 0] = -1
+        self.below = np.full(len(codes), uni.total, dtype=np.int64)
+
+    def per_doc(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, self.starts) if len(values) else np.zeros(0)
+
+    def find(self) -> None:
+        """The block's distinct n-grams, in the order of their buckets."""
+        self.at = np.flatnonzero(self.context >= 0)
+        self.contexts, own = np.unique(self.context[self.at], return_inverse=True)
+        keys, self.kind = np.unique(own.astype(np.int64) << 32 | self.word[self.at], return_inverse=True)
+        self.of, self.next = keys >> 32, (keys & 0xFFFFFFFF).astype(np.int32)
+        self.totals, self.belows = np.empty(len(self.contexts), np.int64), np.empty(len(self.contexts), np.int64)
+        self.totals[own], self.belows[own] = self.total[self.at], self.below[self.at]
+        self.parts = np.maximum(1, np.ceil(self.totals / max(1.0, self.uni.total / (4 * self.buckets)))).astype(np.int64)
+        to = _buckets_of(self.contexts[self.of], self.next, self.parts[self.of], self.buckets)
+        self.order = np.argsort(to, kind="stable")
+        self.to = to[self.order]
+
+    def sent(self, level: int, block: int):
+        """A row for each bucket: contexts, next words, counts in training texts, counts after the shorter context."""
+        self.find()
+        doc = np.repeat(np.array(self.may, dtype=bool), self.lengths)[self.at]
+        trained = np.bincount(self.kind[doc], minlength=len(self.of))
+        lower = np.empty(len(self.of), np.int64)
+        lower[self.kind] = self.count[self.at]
+        for a, b in _cuts(self.to):
+            own = self.order[a:b]
+            split = np.unique(self.of[own][self.parts[self.of[own]] > 1])
+            yield ("grams", level, int(self.to[a]), block, None, None, pickle.dumps((
+                _planes(np.diff(self.contexts[self.of[own]], prepend=0)), _planes(self.next[own]), _planes(trained[own].astype("<u4")),
+                _planes(lower[own].astype("<i8")), self.contexts[split])))
+
+    def learn(self, replies: pd.DataFrame, discounts: np.ndarray) -> None:
+        """Takes the buckets' answers to what ``sent`` sent, and goes on to contexts one word longer."""
+        self.find()
+        count, name = np.zeros(len(self.of), np.int64), np.full(len(self.of), -1, np.int64)
+        sums = np.zeros((KEPT + 2, len(self.contexts)))
+        data = dict(zip(replies["bucket"][replies["kind"] == "reply"], replies["data"][replies["kind"] == "reply"]))
+        for a, b in _cuts(self.to):
+            own, bucket = self.order[a:b], int(self.to[a])
+            c, place, stats = _unpack(data.pop(bucket)).values()
+            count[own] = _unplanes(c, "<u4")
+            name[own] = bucket << 32 | np.cumsum(_unplanes(place, "<u4").astype(np.int64))
+            sums[:, np.unique(self.of[own][count[own] == 0])] = stats
+        for context, nums in zip(replies["context"][replies["kind"] == "sums"], replies["nums"][replies["kind"] == "sums"]):
+            sums[:, np.searchsorted(self.contexts, context)] = nums
+        weight = np.log10(backoff(sums, self.totals, self.belows, discounts))
+        with np.errstate(divide="ignore"):
+            seen = np.log10(_discounted(count, discounts) / (self.totals[self.of] + FLOOR))
+        self.score[self.at] = np.where(count[self.kind] > 0, seen[self.kind], weight[self.of][self.kind] + self.score[self.at])
+        self.count = np.zeros(len(self.word), np.int64)
+        self.count[self.at] = count[self.kind]
+        name[count == 0] = -1
+        context = np.full(len(self.word), -1, np.int64)
+        context[self.at] = name[self.kind]
+        self.context[1:] = context[:-1]
+        self.context[self.starts] = -1
+        self.below, self.total = self.total, np.concatenate(([0], self.count[:-1]))[:len(self.word)]
+
+
+def backoff(sums: np.ndarray, totals: np.ndarray, belows: np.ndarray, discounts: np.ndarray) -> np.ndarray:
+    """a(h): what the seen words leave over, divided by what the shorter context gives to all others.
+
+    ``sums`` has, over the words seen after h: how many have each low count, the events of the
+    others, and their discounted counts after the shorter context.
     """
-    def piece(kind, bucket, block, data):
-        return pa.RecordBatch.from_pylist([{"kind": kind, "bucket": bucket, "block": block, "context": None, "nums": None, "data": data}], schema=_PIECES)
+    r = np.arange(1, KEPT + 1)[:, None]
+    used = (sums[:KEPT] * r * discounts[1:, None]).sum(axis=0) + sums[KEPT]
+    return (1.0 - used / (totals + FLOOR)) / (1.0 - sums[KEPT + 1] / (belows + FLOOR))
+
+
+def _texts(batches):
+    """Blocks with the ids of their words, packed."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {name: batch.column(name)[i] for name in batch.schema.names}
+            ids = np.full(row["n_words"].as_py(), UNKNOWN, dtype=np.int32)
+            if row["ids"].is_valid:
+                packed = row["ids"].values.to_numpy()
+                ids[packed >> 32] = packed & 0xFFFFFFFF
+            data = _pack(docs=row["doc_ids"].as_py(), learn=row["learn"].as_py(), lengths=row["lengths"].values.to_numpy(),
+                         codes=row["codes"].as_py(), words=ids)
+            yield _arrow([("text", None, None, row["block"].as_py(), None, None, data)])
+
+
+def _arrow(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([dict(zip(PIECES, r)) for r in rows], schema=_PIECES)
+
+
+_PIECES = pa.schema([("kind", pa.string()), ("level", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()),
+                     ("context", pa.int64()), ("nums", pa.list_(pa.float64())), ("data", pa.binary())])
 
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=PIECES).astype({"level": "Int32", "bucket": "Int64", "block": "Int64", "context": "Int64"})
+
+
+def _first_sent(uni, buckets: int):
+    """The first round: texts are all that is needed, so they aren't grouped."""
     def run(batches):
-        u: Unigrams = uni.value
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i] for name in batch.schema.names}
-                block = row["block"].as_py()
-                ids = np.full(row["n_words"].as_py(), UNKNOWN, dtype=np.int32)
-                if row["ids"].is_valid:
-                    packed = row["ids"].values.to_numpy()
-                    ids[packed >> 32] = packed & 0xFFFFFFFF
-                    del packed
-                codes = _unplanes(row["codes"].as_py(), "<u4")
-                lengths, learn = row["lengths"].values.to_numpy().astype(np.int64), np.array(row["learn"].as_py(), dtype=np.uint32)
-                starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-                doc = np.repeat(np.arange(len(lengths), dtype=np.uint32), lengths)
-                there, logs = u.count(ids) > 0, np.log10(u.p(ids))
-                # a token without a seen context: the one before it is unknown, or no text was learned from
-                alone = np.empty(len(codes), dtype=bool)
-                alone[1:] = ~there[codes[:-1]]
-                alone[starts] = u.texts == 0
-                direct = np.bincount(doc[alone], logs[codes[alone]], len(lengths))
-                base = np.bincount(doc, u.base(ids)[codes], len(lengths))
-                known = np.bincount(doc[there[codes]], minlength=len(lengths))
-                yield piece("text", -1 - block, block, _pack(
-                    ids=row["doc_ids"].as_py(), learn=row["learn"].as_py(), n=lengths, known=known, base=base, direct=direct))
-                w = ids[codes]
-                del codes, logs, there
-                h = np.empty_like(w)
-                h[1:] = w[:-1]
-                h[starts] = START
-                h, w, doc = h[~alone], w[~alone], doc[~alone]
-                del alone
-                flag = doc << np.uint32(1) | learn[doc]
-                del doc
-                to = _buckets_of(h, w, u, buckets)
-                order = np.argsort(to, kind="stable")
-                to = to[order]
-                cuts = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)]
-                for a, b in zip(cuts, cuts[1:]):
-                    if a == b:
-                        continue
-                    own = order[a:b]
-                    k = h[own].astype(np.int64) << 32 | w[own]
-                    by = np.argsort(k, kind="stable")
-                    k = k[by]
-                    new = np.concatenate(([True], k[1:] != k[:-1]))
-                    yield piece("bigrams", int(to[a]), block, pickle.dumps((
-                        _planes(np.diff(k[new], prepend=0)), _planes(np.diff(np.append(np.flatnonzero(new), b - a)).astype("<u4")),
-                        _planes(flag[own[by]]))))
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data")):
+                for row in Tokens(data.as_py(), uni.value, buckets).sent(2, block):
+                    yield _arrow([row])
     return run
 
 
-_PIECES = pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("block", pa.int64()), ("context", pa.int64()),
-                     ("nums", pa.list_(pa.float64())), ("data", pa.binary())])
+def _caught_up(rows: pd.DataFrame, uni: Unigrams, buckets: int, discounts: list[np.ndarray]) -> Tokens:
+    """The block's tokens after all rounds so far."""
+    tokens = Tokens(rows["data"][rows["kind"] == "text"].iloc[0], uni, buckets)
+    for level, d in enumerate(discounts[1:], 2):
+        tokens.learn(rows[rows["level"] == level], d)
+    return tokens
 
 
-def _count_bucket(uni, buckets: int):
-    """One bucket: its bigram counts, what seen bigrams give each text, and the open ones."""
+def _sent(uni, buckets: int, discounts: list[np.ndarray]):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        if rows["kind"].iloc[0] == "text":
-            return rows
-        u: Unigrams = uni.value
-        bucket, keys, sizes, flags, blocks = int(rows["bucket"].iloc[0]), [], [], [], []
-        for block, data in zip(rows["block"], rows["data"]):
-            k, n, f = pickle.loads(data)
-            keys.append(np.cumsum(_unplanes(k, "<i8")))
-            sizes.append(_unplanes(n, "<u4").astype(np.int64))
-            flags.append(_unplanes(f, "<u4"))
-            blocks.append(int(block))
-        own, at = np.unique(np.concatenate(keys), return_inverse=True)
-        trained = [np.add.reduceat((f & 1).astype(np.int64), np.concatenate(([0], np.cumsum(n)[:-1]))) for f, n in zip(flags, sizes)]
-        c = np.bincount(at, np.concatenate(trained), len(own)).astype(np.int64)
-        h, w = own >> 32, own & 0xFFFFFFFF
-        seen = c > 0
-        _, parts = _bucket(h, w, u, buckets)
-        out = [("counts", bucket, None, None, [float((c == r).sum()) for r in range(1, KEPT + 2)],
-                _pack(keys=_planes(np.diff(own[seen], prepend=0)), counts=_planes(c[seen])))]
-        # sums over a context's seen types: how many of each low count, events above, and P(w)
-        contexts, of = np.unique(h, return_inverse=True)
-        sums = np.stack([np.bincount(of, c == r, len(contexts)) for r in range(1, KEPT + 1)]
-                        + [np.bincount(of, np.where(c > KEPT, c, 0), len(contexts)), np.bincount(of, np.where(seen, u.p(w), 0.0), len(contexts))])
-        split = np.bincount(of, parts > 1, len(contexts)) > 0
-        out += [("split", bucket, None, int(contexts[i]), sums[:, i].tolist(), None) for i in np.flatnonzero(split)]
-        share = np.log10(np.maximum(c, 1) / (u.count(h) + FLOOR))
-        low = np.where(c <= KEPT, c, 0)
-        start, open_rows = 0, []
-        for block, n, f in zip(blocks, sizes, flags):
-            kind = np.repeat(at[start:start + len(n)], n)
-            start += len(n)
-            doc = (f >> 1).astype(np.int64)
-            there, place = np.unique(doc, return_inverse=True)
-            yes = seen[kind]
-            gained = np.bincount(place[yes], share[kind][yes], len(there))
-            lows = np.bincount(place[yes] * (KEPT + 1) + low[kind][yes], minlength=len(there) * (KEPT + 1)).reshape(-1, KEPT + 1)
-            out.append(("part", bucket, block, None, None, _pack(doc=there.astype("<u4"), sum=gained, low=lows[:, 1:].astype("<u4"))))
-            if not yes.all():
-                open_rows.append((block, own[kind][~yes], doc[~yes].astype("<u4")))
-        if open_rows:
-            needed = np.unique(np.concatenate([k for _, k, _ in open_rows]) >> 32)
-            i = np.searchsorted(contexts, needed)
-            out.append(("open", bucket, None, None, None, _pack(contexts=needed, sums=sums[:, i], rows=open_rows)))
-        return pd.DataFrame(out, columns=["kind", "bucket", "block", "context", "nums", "data"]).astype({"block": "Int64", "context": "Int64"})
+        return _frame(list(_caught_up(rows, uni.value, buckets, discounts).sent(len(discounts) + 1, int(rows["block"].iloc[0]))))
     return run
 
 
-def backoff(contexts: np.ndarray, sums: np.ndarray, uni: Unigrams, discounts: np.ndarray) -> np.ndarray:
-    """a(h): what the seen words leave over, divided by the P(w) of all others."""
-    r = np.arange(1, KEPT + 1)[:, None]
-    used = (sums[:KEPT] * r * discounts[1:, None]).sum(axis=0) + sums[KEPT]
-    return (1.0 - used / (uni.count(contexts) + FLOOR)) / (1.0 - sums[KEPT + 1])
+def _count_bucket(level: int, shorter: np.ndarray):
+    """One bucket: its n-grams' counts, and answers to the blocks that sent them."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("block")
+        bucket, sizes, contexts, words, trained, lower, split = int(rows["bucket"].iloc[0]), [], [], [], [], [], []
+        for data in rows["data"]:
+            h, w, n, c, s = pickle.loads(data)
+            contexts.append(np.cumsum(_unplanes(h, "<i8")))
+            words.append(_unplanes(w, "<i4"))
+            trained.append(_unplanes(n, "<u4"))
+            lower.append(_unplanes(c, "<i8"))
+            split.append(s)
+            sizes.append(len(words[-1]))
+        contexts, of = np.unique(np.concatenate(contexts), return_inverse=True)
+        keys, at = np.unique(of.astype(np.int64) << 32 | np.concatenate(words), return_inverse=True)
+        c = np.bincount(at, np.concatenate(trained), len(keys)).astype(np.int64)
+        below = np.empty(len(keys), np.int64)
+        below[at] = np.concatenate(lower)
+        of, seen, split = keys >> 32, c > 0, np.isin(contexts, np.concatenate(split))
+        sums = np.stack([np.bincount(of, c == r, len(contexts)) for r in range(1, KEPT + 1)] + [
+            np.bincount(of, np.where(c > KEPT, c, 0), len(contexts)),
+            np.bincount(of, np.where(seen, _discounted(below, shorter), 0.0), len(contexts))])
+        out = [("counts", level, bucket, None, None, [float((c == r).sum()) for r in range(1, KEPT + 2)], _pack(
+            contexts=_planes(np.diff(contexts[of[seen]], prepend=0)), words=_planes((keys[seen] & 0xFFFFFFFF).astype("<i4")),
+            places=_planes(np.diff(np.flatnonzero(seen), prepend=0).astype("<u4")), counts=_planes(c[seen])))]
+        out += [("split", level, bucket, None, int(contexts[i]), sums[:, i].tolist(), None) for i in np.flatnonzero(split)]
+        start = 0
+        for block, n in zip(rows["block"], sizes):
+            own = at[start:start + n]
+            start += n
+            unseen = np.unique(of[own][c[own] == 0])
+            out.append(("reply", level, bucket, int(block), None, None, _pack(
+                counts=_planes(c[own].astype("<u4")), places=_planes(np.diff(own, prepend=0).astype("<u4")), sums=sums[:, unseen])))
+            out += [("need", level, bucket, int(block), int(contexts[i]), None, None) for i in unseen[split[unseen]]]
+        return _frame(out)
+    return run
+
 
+def counted(table: DataFrame) -> DataFrame:
+    """(level, context, word, name, count) for every seen n-gram of a stored table of counts.
 
-def _close(uni, rest):
-    """Scores of open bigrams, per bucket, now that the discounts are known."""
+    ``context`` is a word's id at level two and above that the ``name`` of an n-gram one word shorter.
+    """
     def run(batches):
-        u: Unigrams = uni.value
-        discounts, split = rest.value
         for batch in batches:
-            for data in batch.column("data").to_pylist():
-                x = _unpack(data)
-                contexts, sums = x["contexts"], x["sums"].copy()
-                for i in np.flatnonzero(np.isin(contexts, np.fromiter(split, np.int64, len(split)))):
-                    sums[:, i] = split[int(contexts[i])]
-                weight = np.log10(backoff(contexts, sums, u, discounts))
-                for block, key, doc in x["rows"]:
-                    value = weight[np.searchsorted(contexts, key >> 32)] + np.log10(u.p(key & 0xFFFFFFFF))
-                    there, place = np.unique(doc, return_inverse=True)
-                    yield pa.RecordBatch.from_pylist([{
-                        "kind": "part", "bucket": None, "block": block, "context": None, "nums": None,
-                        "data": _pack(doc=there, sum=np.bincount(place, value, len(there)), low=None)}], schema=_PIECES)
-    return run
-
-
-def _together(uni, rest):
-    """One block: the texts' own values and all parts."""
+            for level, bucket, data in zip(batch.column("level").to_pylist(), batch.column("bucket").to_pylist(), batch.column("data")):
+                x = _unpack(data.as_py())
+                words = _unplanes(x["words"], "<i4").astype(np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(words), level, np.int32)), pa.array(np.cumsum(_unplanes(x["contexts"], "<i8"))), pa.array(words),
+                    pa.array(bucket << 32 | np.cumsum(_unplanes(x["places"], "<u4").astype(np.int64))),
+                    pa.array(_unplanes(x["counts"], "<i8"))], names=["level", "context", "word", "name", "count"])
+    return table.where("kind = 'counts'").mapInArrow(run, "level int, context long, word long, name long, count long")
+
+
+def _finished(uni, buckets: int, discounts: list[np.ndarray]):
+    """One block: the values of its texts."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         u: Unigrams = uni.value
-        logs = np.log10(rest.value[0][1:])
-        own = _unpack(rows["data"][rows["kind"] == "text"].iloc[0])
-        score = own["direct"].astype(float)
-        # the parts in a fixed order: sums of doubles then don't depend on how rows arrive
-        parts = rows[rows["kind"] == "part"].sort_values("bucket", na_position="last", kind="stable")
-        for data in parts["data"]:
-            x = _unpack(data)
-            score[x["doc"]] += x["sum"]
-            if x["low"] is not None:
-                score[x["doc"]] += x["low"] @ logs
+        block = rows["data"][rows["kind"] == "text"].iloc[0]
+        plain = Tokens(block, u, buckets)
+        known = plain.per_doc((plain.count > 0).astype(np.int64))
+        base = plain.per_doc(np.log10((plain.count + 0.1) / (u.total + 0.1 * (u.types + 1))))
+        del plain
+        tokens = _caught_up(rows, u, buckets, discounts)
         return pd.DataFrame({
-            "doc_id": pd.array(own["ids"], dtype="Int64"), "learned": own["learn"], "n_tokens": own["n"], "n_known": own["known"],
-            "train_tokens": u.total, "base_score": own["base"].astype(float), "score": score})
+            "doc_id": pd.array(tokens.docs, dtype="Int64"), "learned": tokens.may, "n_tokens": tokens.lengths, "n_known": known,
+            "train_tokens": u.total, "base_score": base, "score": tokens.per_doc(tokens.score)})
     return run
 
 
@@ -365,10 +432,10 @@ def _ids(counted: DataFrame) -> DataFrame:
 
 
 def score(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text",
-          bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
+          bucket_tokens: int = BUCKET_TOKENS, order: int = ORDER) -> DataFrame:
     """(id, learned, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
-    The model learns from the rows for which ``may_learn`` is true. NULL and empty texts are an
+    The model has n-grams of up to ``order`` words (two at least) and learns from the rows for which ``may_learn`` is true. NULL and empty texts are an
     end token only; repeated rows count and are scored each; a NULL id stays NULL (and its row is
     learned from only if ``may_learn`` says so). Without training rows every word is unknown.
     """
@@ -389,17 +456,22 @@ def score(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
     ids = placed.select("block", "at", "word").join(ranked.select("word", "id"), "word").groupBy("block").agg(
         F.collect_list(F.shiftleft(F.col("at").cast("long"), 32) + F.col("id")).alias("ids"))
     full = blocks.select("block", "doc_ids", "learn", "lengths", "codes", F.size("words").alias("n_words")).join(ids, "block", "left")
-    pieces = full.mapInArrow(_spread(uni, buckets), PIECE)
-    counts = materialise(pieces.groupBy("bucket").applyInPandas(_count_bucket(uni, buckets), PIECE), "bigrams")
-
-    of_count = {r["pos"]: r["n"] for r in counts.where("kind = 'counts'").select(F.posexplode("nums")).groupBy("pos").agg(
-        F.sum("col").alias("n")).collect()}
-    # at most about four split contexts a bucket
-    sums = counts.where("kind = 'split'").select("context", F.posexplode("nums")).groupBy("context", "pos").agg(F.sum("col").alias("s"))
-    split: dict[int, np.ndarray] = {}
-    for r in sums.toLocalIterator():
-        split.setdefault(r["context"], np.zeros(KEPT + 2))[r["pos"]] = r["s"]
-    rest = spark.sparkContext.broadcast((good_turing([of_count.get(i, 0) for i in range(KEPT + 1)]), split))
-    closed = counts.where("kind = 'open'").mapInArrow(_close(uni, rest), PIECE)
-    both = counts.where("kind in ('text', 'part')").unionByName(closed)
-    return both.groupBy("block").applyInPandas(_together(uni, rest), DOC).withColumnRenamed("doc_id", id_col)
+    known = materialise(full.mapInArrow(_texts, PIECE), "texts")
+
+    discounts = [unigrams.discounts]
+    for level in range(2, order + 1):
+        if level == 2:
+            sent = known.mapInArrow(_first_sent(uni, buckets), PIECE)
+        else:
+            sent = known.groupBy("block").applyInPandas(_sent(uni, buckets, list(discounts)), PIECE)
+        counts = materialise(sent.groupBy("bucket").applyInPandas(_count_bucket(level, discounts[-1]), PIECE), f"grams-of-{level}")
+        of_count = {r["pos"]: r["n"] for r in counts.where("kind = 'counts'").select(F.posexplode("nums")).groupBy("pos").agg(
+            F.sum("col").alias("n")).collect()}
+        discounts.append(good_turing([of_count.get(i, 0) for i in range(KEPT + 1)]))
+        whole = counts.where("kind = 'split'").groupBy("context").agg(F.array(*[
+            F.sum(F.get("nums", F.lit(i))) for i in range(KEPT + 2)]).alias("nums"))
+        needed = counts.where("kind = 'need'").select("block", "context").distinct().join(whole, "context").select(
+            F.lit("sums").alias("kind"), F.lit(level).alias("level"), F.lit(None).cast("long").alias("bucket"), "block", "context", "nums",
+            F.lit(None).cast("binary").alias("data"))
+        known = known.unionByName(counts.where("kind = 'reply'")).unionByName(needed)
+    return known.groupBy("block").applyInPandas(_finished(uni, buckets, discounts), DOC).withColumnRenamed("doc_id", id_col)

@@ -1,4 +1,4 @@
-"""Katz scores against a plain model over all bigrams, and its probabilities against one."""
+"""Katz scores against a plain model over all n-grams, and its probabilities against one."""
 
 import math
 import random
@@ -12,71 +12,98 @@ from phenogrid.llm import katz, toxicity
 
 
 class Plain:
-    def __init__(self, texts):
-        self.uni, self.big, self.after = Counter(), Counter(), defaultdict(list)
-        self.context = Counter()
+    """Counts of all n-grams in dictionaries, and the probability by plain recursion."""
+
+    def __init__(self, texts, order):
+        self.order, self.count, self.after = order, [Counter() for _ in range(order + 1)], defaultdict(list)
         for t in texts:
-            self.uni.update(t)
-            self.big.update(zip(["<s>", *t], t))
-            self.context["<s>"] += 1
-        self.context.update(self.uni)
+            self.count[1].update((w,) for w in t)
+            padded = ("<s>", *t)
+            for k in range(2, order + 1):
+                self.count[k].update(padded[i:i + k] for i in range(len(padded) - k + 1))
+        self.uni = {w: c for (w,), c in self.count[1].items()}
         self.n, self.v = sum(self.uni.values()), len(self.uni)
-        self.d1, self.d2 = ([float(x) for x in katz.good_turing([Counter(c.values())[r] for r in range(1, 7)])] for c in (self.uni, self.big))
-        self.rest = 1 - sum(self.d(self.d1, c) * c for c in self.uni.values()) / (self.n + katz.FLOOR)
-        for (h, w), c in self.big.items():
-            self.after[h].append((w, c))
-
-    def d(self, d, c):
-        return d[c] if c <= katz.KEPT else 1.0
+        self.discounts = [None, *([float(x) for x in katz.good_turing([Counter(c.values())[r] for r in range(1, 7)])] for c in self.count[1:])]
+        self.rest = 1 - sum(self.d(1, c) * c for c in self.uni.values()) / (self.n + katz.FLOOR)
+        for c in self.count[2:]:
+            for gram, n in c.items():
+                self.after[gram[:-1]].append((gram[-1], n))
+        self.weights = {}
 
-    def one(self, w):
-        c = self.uni.get(w, 0)
-        return self.d(self.d1, c) * c / (self.n + katz.FLOOR) if c else self.rest
+    def d(self, k, c):
+        return self.discounts[k][c] if c <= katz.KEPT else 1.0
 
     def p(self, h, w):
-        if not self.context.get(h):
-            return self.one(w)
-        c = self.big.get((h, w), 0)
+        if not h:
+            c = self.uni.get(w, 0)
+            return self.d(1, c) * c / (self.n + katz.FLOOR) if c else self.rest
+        if h not in self.after:
+            return self.p(h[1:], w)
+        c, total = self.count[len(h) + 1].get((*h, w), 0), sum(n for _, n in self.after[h])
         if c:
-            return self.d(self.d2, c) * c / (self.context[h] + katz.FLOOR)
-        left = 1 - sum(self.d(self.d2, k) * k for _, k in self.after[h]) / (self.context[h] + katz.FLOOR)
-        return left / (1 - sum(self.one(x) for x, _ in self.after[h])) * self.one(w)
+            return self.d(len(h) + 1, c) * c / (total + katz.FLOOR)
+        if h not in self.weights:
+            left = 1 - sum(self.d(len(h) + 1, n) * n for _, n in self.after[h]) / (total + katz.FLOOR)
+            self.weights[h] = left / (1 - sum(self.p(h[1:], x) for x, _ in self.after[h]))
+        return self.weights[h] * self.p(h[1:], w)
+
+    def score(self, t):
+        padded = ("<s>", *t)
+        return sum(math.log10(self.p(padded[max(0, i + 1 - self.order):i], padded[i])) for i in range(1, len(padded)))
 
 
 def tokens(text):
     return [*(text or "").encode().lower().split(), "</s>"]
 
 
-def compare(rows, learn, found):
-    model = Plain([tokens(t) for (i, t), x in zip(rows, learn) if x])
-    for h in list(model.after)[:20]:
+def compare(rows, learn, found, order):
+    model = Plain([tokens(t) for (i, t), x in zip(rows, learn) if x], order)
+    for h in [h for k in range(1, order) for h in [h for h in model.after if len(h) == k][:20]]:
         assert abs(sum(model.p(h, w) for w in model.uni) + model.p(h, "never") - 1) < 1e-9
     got = sorted((r["doc_id"], round(r["score"], 5), round(r["base_score"], 5), r["n_tokens"], r["n_known"], r["train_tokens"]) for r in found)
     want = []
     for i, text in rows:
         t = tokens(text)
-        want.append((i, round(sum(math.log10(model.p(h, w)) for h, w in zip(["<s>", *t], t)), 5),
-                     round(sum(math.log10((model.uni[w] + 0.1) / (model.n + 0.1 * (model.v + 1))) for w in t), 5),
-                     len(t), sum(1 for w in t if model.uni[w]), model.n))
+        want.append((i, round(model.score(t), 5),
+                     round(sum(math.log10((model.uni.get(w, 0) + 0.1) / (model.n + 0.1 * (model.v + 1))) for w in t), 5),
+                     len(t), sum(1 for w in t if model.uni.get(w)), model.n))
     assert [g[0] for g in got] == [w[0] for w in sorted(want)]
     for g, w in zip(got, sorted(want)):
         assert g[1:] == pytest.approx(w[1:], abs=2e-5)
 
 
-def test_documents(spark, sf, learns):
+@pytest.mark.parametrize("order", [2, 3])
+def test_documents(spark, sf, learns, order):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
-    found = katz.score(docs, toxicity.in_part("doc_id", 10) != 0, bucket_tokens=9000).collect()
-    compare(rows, [learns(i, 10) for i, _ in rows], found)
+    found = katz.score(docs, toxicity.in_part("doc_id", 10) != 0, bucket_tokens=9000, order=order).collect()
+    compare(rows, [learns(i, 10) for i, _ in rows], found, order)
 
 
-def test_hot_words_blocks_and_edges(spark, docs_of, monkeypatch):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_hot_words_pairs_blocks_and_edges(spark, docs_of, order):
+    """A pair of words that makes a third of all tokens, contexts split over buckets, several blocks."""
     r = random.Random(2)
     words = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(r.choice(words) if r.random() < 0.5 else "the" for _ in range(r.randint(0, 60)))) for i in range(120)]
-    rows += [(200, None), (201, ""), (202, "THE the \x1c\x85 the"), (203, "never seen words"), (204, " ".join(["the"] * 30_000)), (205, "ß é \U0001f600")]
-    found = katz.score(docs_of(rows).repartition(5), F.col("doc_id") % 3 != 0, bucket_tokens=3000).collect()
-    compare(rows, [i % 3 != 0 for i, _ in rows], found)
+    rows += [(200, None), (201, ""), (202, "THE the \x1c\x85 the"), (203, "never seen words"), (204, " ".join(["the"] * 3000)), (205, "ß é \U0001f600")]
+    found = katz.score(docs_of(rows).repartition(5), F.col("doc_id") % 3 != 0, bucket_tokens=300, order=order).collect()
+    compare(rows, [i % 3 != 0 for i, _ in rows], found, order)
+
+
+def test_a_pair_is_one_entry_a_block_and_counts_are_stored(spark):
+    docs = ["a b a b a b c", "a b c"]
+    index = {w: i for i, w in enumerate(["a", "b", "c", "\n"])}
+    uni = katz.Unigrams.of([(4, 2), (2, 2)], 2)
+    codes = np.array([index[w] for d in docs for w in [*d.split(), "\n"]], dtype="<u4")
+    text = katz._pack(docs=[1, 2], learn=[True, True], lengths=np.array([8, 4]), codes=katz._planes(codes), words=np.arange(4, dtype=np.int32))
+    sent = list(katz.Tokens(text, uni, 1).sent(2, 7))
+    assert len(sent) == 1
+    out = katz._count_bucket(2, uni.discounts)(katz._frame(sent))
+    table = spark.createDataFrame([(r.kind, int(r.level), int(r.bucket), r.data) for r in out.itertuples() if r.kind == "counts"],
+                                  "kind string, level int, bucket long, data binary")
+    found = {(r["context"], r["word"]): r["count"] for r in katz.counted(table).collect()}
+    assert found == {(katz.START, 0): 2, (0, 1): 4, (1, 0): 2, (1, 2): 2, (2, 3): 2}
 
 
 def test_repeated_rows_null_ids_and_empty_tables(spark, docs_of):
