@@ -1,4 +1,4 @@
-"""Katz backoff model of n-grams (three words unless told otherwise): counts over all training texts, scores for all texts.
+"""Katz backoff model of n-grams (of two words unless told otherwise): counts over all training texts, scores for all texts.
 
     P(w | h) = d_r · c(h w) / (c(h) + FLOOR)          if the n-gram was seen, r its count
              = a(h) · P(w | h without its first word) else; a(h) makes the sum over all w exactly one
@@ -10,18 +10,17 @@ something over for unseen words where every count is above five. Each text start
 context and ends with an end token.
 
 How the work is spread: texts are packed into blocks of at most ``BLOCK_TOKENS`` tokens (a longer
-text is a block of its own) with their own word lists, stored once. Words get dense ids in the
-order of their counts by joins on the word, so the count of an id follows from a step function of
-at most sqrt(2N) steps. Then there is one round for each length of n-grams, two words first. A
-block sends its distinct n-grams, each once with its count in the block's training texts, to the
-bucket of the context; so an n-gram of any frequency is one entry a block. Contexts with more than
-a fair share of the tokens are split over several buckets by the next word. A bucket adds the
-counts up, stores them (a table for each length, a row for each bucket; ``counted`` reads it), and
-answers each block with the counts of its n-grams, in the order in which they came, and with the
-sums that the weights of contexts with unseen n-grams follow from. Sums of split contexts are
-added up and joined to the blocks that need them. An n-gram's place in its bucket is its name as a
-context of the next round, so keys stay two numbers at every length. The block then evaluates its
-tokens from the shortest n-grams to the longest. No count, word or text is dropped.
+text is a block of its own) with their own word lists, stored once. Then there is one round for
+each length of n-grams, words first. A block sends its distinct n-grams, each once with its count
+in the block's training texts, to a bucket, of the word or of the context; so an n-gram of any
+frequency is one entry a block. Contexts with more than a fair share of the tokens are split over
+several buckets by the next word. A bucket adds the counts up, stores them (a table for each
+length, a row for each bucket; ``counted`` reads it), and answers each block with the counts of
+its n-grams, in the order in which they came, and with the sums that the weights of contexts with
+unseen n-grams follow from. Sums of split contexts are added up and joined to the blocks that need
+them. An n-gram's place in its bucket is its name as a context of the next round, so keys stay two
+numbers at every length. The block then evaluates its tokens from the shortest n-grams to the
+longest. No count, word or text is dropped, and only a few sums come to the driver.
 """
 
 from __future__ import annotations
@@ -44,74 +43,113 @@ BLOCK_TOKENS = 2_000_000
 BUCKET_TOKENS = 2_000_000
 _SOME = 1 << 18
 KEPT = 5
-ORDER = 3
+ORDER = 2
 FLOOR = 0.01
 #: The end token: words have no blanks, so no word is equal to it.
-END = "\n"
-UNKNOWN, START = (1 << 31) - 1, (1 << 31) - 2
-BLOCK = ("block long, doc_ids array<long>, learn array<boolean>, lengths array<int>, codes binary, "
-         "words array<string>, counts array<int>")
+END = b"\n"
+UNKNOWN, START = 1 << 62, (1 << 62) + 1
 PIECE = "kind string, level int, bucket long, block long, context long, nums array<double>, data binary"
+# numbers that a row doesn't have are -1: pandas would turn a column with gaps into doubles
 PIECES = ["kind", "level", "bucket", "block", "context", "nums", "data"]
 DOC = ("doc_id long, learned boolean, n_tokens long, n_known long, train_tokens long, "
        "base_score double, score double")
 
 
-def _pack(**arrays) -> bytes:
-    return zlib.compress(pickle.dumps(arrays, protocol=5), 1)
+def _pack(**parts) -> bytes:
+    return pickle.dumps(parts, protocol=5)
 
 
 def _unpack(data: bytes) -> dict:
-    return pickle.loads(zlib.decompress(data))
+    return pickle.loads(data)
 
 
 def _planes(values: np.ndarray) -> bytes:
     """Bytes of the same weight together: sorted differences then compress well."""
+    if not len(values):
+        return zlib.compress(b"")
     return zlib.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), 1)
 
 
 def _unplanes(data: bytes, dtype) -> np.ndarray:
     width = np.dtype(dtype).itemsize
     raw = np.frombuffer(zlib.decompress(data), dtype=np.uint8)
+    if not len(raw):
+        return np.empty(0, dtype)
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(dtype).reshape(-1)
 
 
 def _blocks(batches):
-    """Packs texts into blocks: per text the positions of its words in the block's word list."""
-    ids, learn, lengths, codes, index, counts, size, number = [], [], [], [], {}, [], 0, 0
+    """Packs texts into blocks: per token the place of its word in the block's word list."""
+    ids, learn, lengths, codes, index, size, number = [], [], [], [], {}, 0, 0
     task = TaskContext.get().partitionId()
 
     def emit():
-        packed = np.concatenate(codes) if codes else np.empty(0, "<u4")
-        return pa.RecordBatch.from_arrays([
-            pa.array([task << 32 | number]), pa.array([ids], pa.list_(pa.int64())), pa.array([learn], pa.list_(pa.bool_())),
-            pa.array([lengths], pa.list_(pa.int32())), pa.array([_planes(packed)], pa.binary()),
-            pa.array([[w.decode("utf-8", "replace") for w in index]], pa.list_(pa.string())),
-            pa.array([counts], pa.list_(pa.int32()))], names=["block", "doc_ids", "learn", "lengths", "codes", "words", "counts"])
+        n = np.array(lengths, dtype=np.int64)
+        data = _pack(docs=ids, learn=learn, lengths=_planes(n), codes=_planes(np.concatenate(codes)), words=zlib.compress(b" ".join(index), 1))
+        return _arrow([("text", 0, -1, task << 32 | number, -1, [float(n[learn].sum()), float(sum(learn))], data)])
 
     for batch in batches:
         for doc, text, may in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             words = (text or "").encode("utf-8", "replace")
             words = words.lower().split()
-            words.append(b"\n")
-            own = np.array([index.setdefault(w, len(index)) for w in words], dtype="<u4")
-            counts.extend([0] * (len(index) - len(counts)))
-            if may:
-                places, n = np.unique(own, return_counts=True)
-                for p, k in zip(places.tolist(), n.tolist()):
-                    counts[p] += k
+            words.append(END)
+            codes.append(np.array([index.setdefault(w, len(index)) for w in words], dtype="<u4"))
             ids.append(doc)
             learn.append(bool(may))
             lengths.append(len(words))
-            codes.append(own)
             size += len(words)
             if size >= BLOCK_TOKENS:
                 yield emit()
-                ids, learn, lengths, codes, index, counts, size, number = [], [], [], [], {}, [], 0, number + 1
+                ids, learn, lengths, codes, index, size, number = [], [], [], [], {}, 0, number + 1
     if ids:
         yield emit()
 
 
+def _words_sent(buckets: int):
+    """From a block, a row for each bucket: its words and their counts in training texts."""
+    def run(batches):
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data")):
+                x = _unpack(data.as_py())
+                words = zlib.decompress(x["words"]).split(b" ")
+                doc = np.repeat(np.array(x["learn"], dtype=bool), _unplanes(x["lengths"], "<i8"))
+                trained = np.bincount(_unplanes(x["codes"], "<u4")[doc], minlength=len(words))
+                order, to = _word_buckets(words, buckets)
+                for a, b in _cuts(to):
+                    own = order[a:b]
+                    yield _arrow([("grams", 1, int(to[a]), block, -1, None, _pack(
+                        words=zlib.compress(b" ".join([words[i] for i in own.tolist()]), 1), counts=_planes(trained[own])))])
+    return run
+
+
+def _word_buckets(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words in the order of their buckets, and these."""
+    to = np.fromiter(map(zlib.crc32, words), dtype=np.uint32, count=len(words)).astype(np.int64) % buckets
+    order = np.argsort(to, kind="stable")
+    return order, to[order]
+
+
+def _count_words(rows: pd.DataFrame) -> pd.DataFrame:
+    """One bucket of words: their counts, and answers to the blocks that sent them; frequent words come first."""
+    rows = rows.sort_values("block")
+    bucket, index, at, trained = int(rows["bucket"].iloc[0]), {}, [], []
+    for data in rows["data"]:
+        x = _unpack(data)
+        at.append(np.array([index.setdefault(w, len(index)) for w in zlib.decompress(x["words"]).split(b" ")], dtype=np.int64))
+        trained.append(_unplanes(x["counts"], "<i8"))
+    c = np.bincount(np.concatenate(at), np.concatenate(trained), len(index)).astype(np.int64)
+    order = np.argsort(-c, kind="stable")
+    place = np.empty(len(order), dtype="<u4")
+    place[order] = np.arange(len(order))
+    words = list(index)
+    seen = order[:int((c > 0).sum())]
+    out = [("counts", 1, bucket, -1, -1, [*[float((c == r).sum()) for r in range(1, KEPT + 2)], float(len(seen))], _pack(
+        words=zlib.compress(b" ".join([words[i] for i in seen.tolist()]), 1), counts=_planes(c[seen])))]
+    out += [("reply", 1, bucket, int(block), -1, None, _pack(counts=_planes(c[own]), places=_planes(place[own])))
+            for block, own in zip(rows["block"], at)]
+    return _frame(out)
+
+
 def good_turing(of_count: list[float], kept: int = KEPT) -> np.ndarray:
     """Discounts d_0..d_kept from the numbers of types with counts 1..kept+1; d_0 isn't used.
 
@@ -134,41 +172,21 @@ def good_turing(of_count: list[float], kept: int = KEPT) -> np.ndarray:
 
 @dataclass
 class Unigrams:
-    """Counts of ids as a step function, and P(w) from them."""
+    """What P(w) takes besides the count of w."""
 
     total: int
     types: int
     texts: int
-    values: np.ndarray
-    first: np.ndarray
-    discounts: np.ndarray
-
-    @classmethod
-    def of(cls, steps: list[tuple[int, int]], texts: int) -> Unigrams:
-        steps = sorted(steps, reverse=True)
-        values = np.array([c for c, _ in steps], dtype=np.int64)
-        sizes = np.array([n for _, n in steps], dtype=np.int64)
-        by = dict(steps)
-        return cls(int((values * sizes).sum()), int(sizes.sum()), texts, values,
-                   np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else np.empty(0, np.int64),
-                   good_turing([by.get(r, 0) for r in range(1, KEPT + 2)]))
-
-    def count(self, ids: np.ndarray) -> np.ndarray:
-        if not len(self.values):
-            return np.where(ids == START, self.texts, 0)
-        c = self.values[np.maximum(np.searchsorted(self.first, ids, side="right") - 1, 0)]
-        return np.where(ids == UNKNOWN, 0, np.where(ids == START, self.texts, c))
-
-    def p(self, ids: np.ndarray) -> np.ndarray:
-        c = self.count(ids)
-        d = np.where(c <= KEPT, self.discounts[np.minimum(c, KEPT)], 1.0)
-        return np.where(c > 0, d * c / (self.total + FLOOR), self.unknown)
-
-    @property
-    def unknown(self) -> float:
-        sizes = np.diff(np.append(self.first, self.types))
-        d = np.where(self.values <= KEPT, self.discounts[np.minimum(self.values, KEPT)], 1.0)
-        return 1.0 - float((d * self.values * sizes).sum()) / (self.total + FLOOR)
+    of_count: list[float]
+
+    def __post_init__(self):
+        self.discounts = good_turing(self.of_count)
+        r = np.arange(1, KEPT + 1)
+        low = np.array(self.of_count[:KEPT]) * r
+        self.unknown = 1.0 - (float((low * self.discounts[1:]).sum()) + self.total - float(low.sum())) / (self.total + FLOOR)
+
+    def p(self, count: np.ndarray) -> np.ndarray:
+        return np.where(count > 0, _discounted(count, self.discounts) / (self.total + FLOOR), self.unknown)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -199,85 +217,108 @@ def _discounted(count: np.ndarray, discounts: np.ndarray) -> np.ndarray:
 
 
 class Tokens:
-    """A block's tokens and, length by length, their contexts, counts and scores.
+    """A block's tokens and, length by length, their contexts, n-grams and scores.
 
-    ``context`` is the context's number or -1 if it wasn't seen, ``total`` its count, ``below`` the
-    count of the shorter one, ``count`` the token's count after that shorter one, and ``score`` the
-    log10 probability by what is known so far.
+    Of a token only its word ``code``, its context ``own`` (-1 if that wasn't seen) and its n-gram
+    ``kind`` (-1 without a context) are kept, as places in lists, and ``score``, the log10
+    probability by what is known so far. The lists are in the order of the global numbers: ``words``
+    and their counts, ``names`` of contexts, their counts ``totals`` and those of the shorter
+    contexts ``belows``, and ``counts`` of the n-grams one word shorter than those to come.
     """
 
-    def __init__(self, data: bytes, uni: Unigrams, buckets: int):
-        x = _unpack(data)
-        ids, codes = x["words"], _unplanes(x["codes"], "<u4")
+    def __init__(self, rows: pd.DataFrame, uni: Unigrams, buckets: int):
+        x = _unpack(rows["data"][rows["kind"] == "text"].iloc[0])
         self.uni, self.buckets = uni, buckets
-        self.docs, self.may, self.lengths = x["docs"], x["learn"], x["lengths"].astype(np.int64)
+        self.docs, self.may, self.lengths = x["docs"], x["learn"], _unplanes(x["lengths"], "<i8")
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
-        self.word = ids[codes]
-        self.count = uni.count(ids)[codes]
-        self.score = np.log10(uni.p(ids))[codes]
-        self.context = np.empty(len(codes), dtype=np.int64)
-        self.context[1:] = self.word[:-1]
-        self.context[self.starts] = START
-        self.total = uni.count(self.context)
-        self.context[self.total == 0] = -1
-        self.below = np.full(len(codes), uni.total, dtype=np.int64)
+        words = zlib.decompress(x["words"]).split(b" ")
+        names, counts = np.full(len(words), UNKNOWN, dtype=np.int64), np.zeros(len(words), np.int64)
+        order, to = _word_buckets(words, buckets)
+        del words
+        first = rows[(rows["level"] == 1) & (rows["kind"] == "reply")]
+        data = dict(zip(first["bucket"], first["data"]))
+        for a, b in _cuts(to):
+            y = _unpack(data.pop(int(to[a])))
+            c = counts[order[a:b]] = _unplanes(y["counts"], "<i8")
+            names[order[a:b]] = np.where(c > 0, int(to[a]) << 32 | _unplanes(y["places"], "<u4").astype(np.int64), UNKNOWN)
+        order = np.argsort(names, kind="stable")
+        known = int((counts > 0).sum())
+        place = np.empty(len(order), dtype=np.int32)
+        place[order] = np.minimum(np.arange(len(order)), known)  # all unknown words are one
+        self.words = np.append(names[order[:known]], UNKNOWN)
+        self.code = self.kind = place[_unplanes(x["codes"], "<u4")]
+        self.counts = np.append(counts[order[:known]], 0)
+        self.score = np.log10(uni.p(self.counts))[self.code]
+        # the start context is behind all words, unknown ones aren't seen
+        self.names = np.append(self.words, START)
+        self.totals = np.append(self.counts, uni.texts)
+        self.belows = np.full(len(self.names), uni.total, dtype=np.int64)
+        self._shift(np.where(self.totals > 0, np.arange(len(self.names), dtype=np.int32), np.int32(-1)), len(self.words))
+
+    def _shift(self, place: np.ndarray, start: int) -> None:
+        """Each token's context is the n-gram before it; ``place`` of the one ``start`` at the start of a text."""
+        self.own = np.empty(len(self.kind), dtype=np.int32)
+        self.own[1:] = np.where(self.kind[:-1] >= 0, place[self.kind[:-1]], np.int32(-1))
+        self.own[self.starts] = place[start] if start >= 0 else -1
 
     def per_doc(self, values: np.ndarray) -> np.ndarray:
         return np.add.reduceat(values, self.starts) if len(values) else np.zeros(0)
 
-    def find(self) -> None:
-        """The block's distinct n-grams, in the order of their buckets."""
-        self.at = np.flatnonzero(self.context >= 0)
-        self.contexts, own = np.unique(self.context[self.at], return_inverse=True)
-        keys, self.kind = np.unique(own.astype(np.int64) << 32 | self.word[self.at], return_inverse=True)
-        self.of, self.next = keys >> 32, (keys & 0xFFFFFFFF).astype(np.int32)
-        self.totals, self.belows = np.empty(len(self.contexts), np.int64), np.empty(len(self.contexts), np.int64)
-        self.totals[own], self.belows[own] = self.total[self.at], self.below[self.at]
+    def find(self) -> np.ndarray:
+        """The block's distinct n-grams, in the order of their buckets; gives the tokens that have one."""
+        at = np.flatnonzero(self.own >= 0).astype(np.int32)
+        key = self.own[at].astype(np.int64) << 32 | self.code[at]
+        keys, kind = np.unique(key, return_inverse=True)
+        del key
+        self.of, self.next = (keys >> 32).astype(np.int32), (keys & 0xFFFFFFFF).astype(np.int32)
+        self.lower = np.zeros(len(keys), np.int64)
+        self.lower[kind] = np.where(self.kind[at] >= 0, self.counts[self.kind[at]], 0)
+        self.kind = np.full(len(self.code), -1, dtype=np.int32)
+        self.kind[at] = kind
         self.parts = np.maximum(1, np.ceil(self.totals / max(1.0, self.uni.total / (4 * self.buckets)))).astype(np.int64)
-        to = _buckets_of(self.contexts[self.of], self.next, self.parts[self.of], self.buckets)
-        self.order = np.argsort(to, kind="stable")
+        to = _buckets_of(self.names[self.of], self.words[self.next], self.parts[self.of], self.buckets)
+        self.order = np.argsort(to.astype(np.uint16) if self.buckets <= 1 << 16 else to, kind="stable").astype(np.int32)
         self.to = to[self.order]
+        return at
 
     def sent(self, level: int, block: int):
         """A row for each bucket: contexts, next words, counts in training texts, counts after the shorter context."""
-        self.find()
-        doc = np.repeat(np.array(self.may, dtype=bool), self.lengths)[self.at]
-        trained = np.bincount(self.kind[doc], minlength=len(self.of))
-        lower = np.empty(len(self.of), np.int64)
-        lower[self.kind] = self.count[self.at]
+        at = self.find()
+        doc = np.repeat(np.array(self.may, dtype=bool), self.lengths)[at]
+        trained = np.bincount(self.kind[at[doc]], minlength=len(self.of))
         for a, b in _cuts(self.to):
             own = self.order[a:b]
             split = np.unique(self.of[own][self.parts[self.of[own]] > 1])
-            yield ("grams", level, int(self.to[a]), block, None, None, pickle.dumps((
-                _planes(np.diff(self.contexts[self.of[own]], prepend=0)), _planes(self.next[own]), _planes(trained[own].astype("<u4")),
-                _planes(lower[own].astype("<i8")), self.contexts[split])))
+            yield ("grams", level, int(self.to[a]), block, -1, None, pickle.dumps((
+                _planes(np.diff(self.names[self.of[own]], prepend=0)), _planes(self.words[self.next[own]]),
+                _planes(trained[own].astype("<u4")), _planes(self.lower[own]), self.names[split])))
 
     def learn(self, replies: pd.DataFrame, discounts: np.ndarray) -> None:
         """Takes the buckets' answers to what ``sent`` sent, and goes on to contexts one word longer."""
-        self.find()
-        count, name = np.zeros(len(self.of), np.int64), np.full(len(self.of), -1, np.int64)
-        sums = np.zeros((KEPT + 2, len(self.contexts)))
+        at = self.find()
+        count, name = np.zeros(len(self.of), np.int64), np.zeros(len(self.of), np.int64)
+        sums = np.zeros((KEPT + 2, len(self.names)))
         data = dict(zip(replies["bucket"][replies["kind"] == "reply"], replies["data"][replies["kind"] == "reply"]))
         for a, b in _cuts(self.to):
             own, bucket = self.order[a:b], int(self.to[a])
             c, place, stats = _unpack(data.pop(bucket)).values()
-            count[own] = _unplanes(c, "<u4")
+            count[own] = _unplanes(c, "<i8")
             name[own] = bucket << 32 | np.cumsum(_unplanes(place, "<u4").astype(np.int64))
-            sums[:, np.unique(self.of[own][count[own] == 0])] = stats
+            sums[:, np.unique(self.of[own][count[own] == 0])] = _unplanes(stats, "<f8").reshape(KEPT + 2, -1)
         for context, nums in zip(replies["context"][replies["kind"] == "sums"], replies["nums"][replies["kind"] == "sums"]):
-            sums[:, np.searchsorted(self.contexts, context)] = nums
+            sums[:, np.searchsorted(self.names, context)] = nums
         weight = np.log10(backoff(sums, self.totals, self.belows, discounts))
         with np.errstate(divide="ignore"):
             seen = np.log10(_discounted(count, discounts) / (self.totals[self.of] + FLOOR))
-        self.score[self.at] = np.where(count[self.kind] > 0, seen[self.kind], weight[self.of][self.kind] + self.score[self.at])
-        self.count = np.zeros(len(self.word), np.int64)
-        self.count[self.at] = count[self.kind]
-        name[count == 0] = -1
-        context = np.full(len(self.word), -1, np.int64)
-        context[self.at] = name[self.kind]
-        self.context[1:] = context[:-1]
-        self.context[self.starts] = -1
-        self.below, self.total = self.total, np.concatenate(([0], self.count[:-1]))[:len(self.word)]
+        kind = self.kind[at]
+        self.score[at] = np.where(count[kind] > 0, seen[kind], weight[self.of[kind]] + self.score[at])
+        self.counts = count
+        longer = np.flatnonzero(count > 0)
+        longer = longer[np.argsort(name[longer], kind="stable")]
+        place = np.full(max(1, len(count)), -1, dtype=np.int32)
+        place[longer] = np.arange(len(longer))
+        self.names, self.totals, self.belows = name[longer], count[longer], self.lower[longer]
+        self._shift(place, -1)
 
 
 def backoff(sums: np.ndarray, totals: np.ndarray, belows: np.ndarray, discounts: np.ndarray) -> np.ndarray:
@@ -291,20 +332,6 @@ def backoff(sums: np.ndarray, totals: np.ndarray, belows: np.ndarray, discounts:
     return (1.0 - used / (totals + FLOOR)) / (1.0 - sums[KEPT + 1] / (belows + FLOOR))
 
 
-def _texts(batches):
-    """Blocks with the ids of their words, packed."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = {name: batch.column(name)[i] for name in batch.schema.names}
-            ids = np.full(row["n_words"].as_py(), UNKNOWN, dtype=np.int32)
-            if row["ids"].is_valid:
-                packed = row["ids"].values.to_numpy()
-                ids[packed >> 32] = packed & 0xFFFFFFFF
-            data = _pack(docs=row["doc_ids"].as_py(), learn=row["learn"].as_py(), lengths=row["lengths"].values.to_numpy(),
-                         codes=row["codes"].as_py(), words=ids)
-            yield _arrow([("text", None, None, row["block"].as_py(), None, None, data)])
-
-
 def _arrow(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([dict(zip(PIECES, r)) for r in rows], schema=_PIECES)
 
@@ -314,22 +341,11 @@ _PIECES = pa.schema([("kind", pa.string()), ("level", pa.int32()), ("bucket", pa
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=PIECES).astype({"level": "Int32", "bucket": "Int64", "block": "Int64", "context": "Int64"})
-
-
-def _first_sent(uni, buckets: int):
-    """The first round: texts are all that is needed, so they aren't grouped."""
-    def run(batches):
-        for batch in batches:
-            for block, data in zip(batch.column("block").to_pylist(), batch.column("data")):
-                for row in Tokens(data.as_py(), uni.value, buckets).sent(2, block):
-                    yield _arrow([row])
-    return run
+    return pd.DataFrame(rows, columns=PIECES)
 
 
-def _caught_up(rows: pd.DataFrame, uni: Unigrams, buckets: int, discounts: list[np.ndarray]) -> Tokens:
+def _catch_up(tokens: Tokens, rows: pd.DataFrame, discounts: list[np.ndarray]) -> Tokens:
     """The block's tokens after all rounds so far."""
-    tokens = Tokens(rows["data"][rows["kind"] == "text"].iloc[0], uni, buckets)
     for level, d in enumerate(discounts[1:], 2):
         tokens.learn(rows[rows["level"] == level], d)
     return tokens
@@ -337,7 +353,8 @@ def _caught_up(rows: pd.DataFrame, uni: Unigrams, buckets: int, discounts: list[
 
 def _sent(uni, buckets: int, discounts: list[np.ndarray]):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return _frame(list(_caught_up(rows, uni.value, buckets, discounts).sent(len(discounts) + 1, int(rows["block"].iloc[0]))))
+        tokens = _catch_up(Tokens(rows, uni.value, buckets), rows, discounts)
+        return _frame(list(tokens.sent(len(discounts) + 1, int(rows["block"].iloc[0]))))
     return run
 
 
@@ -349,13 +366,15 @@ def _count_bucket(level: int, shorter: np.ndarray):
         for data in rows["data"]:
             h, w, n, c, s = pickle.loads(data)
             contexts.append(np.cumsum(_unplanes(h, "<i8")))
-            words.append(_unplanes(w, "<i4"))
+            words.append(_unplanes(w, "<i8"))
             trained.append(_unplanes(n, "<u4"))
             lower.append(_unplanes(c, "<i8"))
             split.append(s)
             sizes.append(len(words[-1]))
         contexts, of = np.unique(np.concatenate(contexts), return_inverse=True)
-        keys, at = np.unique(of.astype(np.int64) << 32 | np.concatenate(words), return_inverse=True)
+        words, word = np.unique(np.concatenate(words), return_inverse=True)
+        keys, at = np.unique(of.astype(np.int64) << 32 | word, return_inverse=True)
+        del word
         c = np.bincount(at, np.concatenate(trained), len(keys)).astype(np.int64)
         below = np.empty(len(keys), np.int64)
         below[at] = np.concatenate(lower)
@@ -363,32 +382,33 @@ def _count_bucket(level: int, shorter: np.ndarray):
         sums = np.stack([np.bincount(of, c == r, len(contexts)) for r in range(1, KEPT + 1)] + [
             np.bincount(of, np.where(c > KEPT, c, 0), len(contexts)),
             np.bincount(of, np.where(seen, _discounted(below, shorter), 0.0), len(contexts))])
-        out = [("counts", level, bucket, None, None, [float((c == r).sum()) for r in range(1, KEPT + 2)], _pack(
-            contexts=_planes(np.diff(contexts[of[seen]], prepend=0)), words=_planes((keys[seen] & 0xFFFFFFFF).astype("<i4")),
+        out = [("counts", level, bucket, -1, -1, [float((c == r).sum()) for r in range(1, KEPT + 2)], _pack(
+            contexts=_planes(np.diff(contexts[of[seen]], prepend=0)), words=_planes(words[keys[seen] & 0xFFFFFFFF]),
             places=_planes(np.diff(np.flatnonzero(seen), prepend=0).astype("<u4")), counts=_planes(c[seen])))]
-        out += [("split", level, bucket, None, int(contexts[i]), sums[:, i].tolist(), None) for i in np.flatnonzero(split)]
+        out += [("split", level, bucket, -1, int(contexts[i]), sums[:, i].tolist(), None) for i in np.flatnonzero(split)]
         start = 0
         for block, n in zip(rows["block"], sizes):
             own = at[start:start + n]
             start += n
             unseen = np.unique(of[own][c[own] == 0])
-            out.append(("reply", level, bucket, int(block), None, None, _pack(
-                counts=_planes(c[own].astype("<u4")), places=_planes(np.diff(own, prepend=0).astype("<u4")), sums=sums[:, unseen])))
+            out.append(("reply", level, bucket, int(block), -1, None, _pack(
+                counts=_planes(c[own]), places=_planes(np.diff(own, prepend=0).astype("<u4")), sums=_planes(sums[:, unseen].ravel()))))
             out += [("need", level, bucket, int(block), int(contexts[i]), None, None) for i in unseen[split[unseen]]]
         return _frame(out)
     return run
 
 
 def counted(table: DataFrame) -> DataFrame:
-    """(level, context, word, name, count) for every seen n-gram of a stored table of counts.
+    """(level, context, word, name, count) for every seen n-gram of two words or more in a stored table of counts.
 
-    ``context`` is a word's id at level two and above that the ``name`` of an n-gram one word shorter.
+    ``word`` and, at level two, ``context`` are names of words, above that ``context`` is the ``name``
+    of an n-gram one word shorter. A name is the bucket above 32 bits and the place in it below.
     """
     def run(batches):
         for batch in batches:
             for level, bucket, data in zip(batch.column("level").to_pylist(), batch.column("bucket").to_pylist(), batch.column("data")):
                 x = _unpack(data.as_py())
-                words = _unplanes(x["words"], "<i4").astype(np.int64)
+                words = _unplanes(x["words"], "<i8")
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(len(words), level, np.int32)), pa.array(np.cumsum(_unplanes(x["contexts"], "<i8"))), pa.array(words),
                     pa.array(bucket << 32 | np.cumsum(_unplanes(x["places"], "<u4").astype(np.int64))),
@@ -400,37 +420,16 @@ def _finished(uni, buckets: int, discounts: list[np.ndarray]):
     """One block: the values of its texts."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         u: Unigrams = uni.value
-        block = rows["data"][rows["kind"] == "text"].iloc[0]
-        plain = Tokens(block, u, buckets)
-        known = plain.per_doc((plain.count > 0).astype(np.int64))
-        base = plain.per_doc(np.log10((plain.count + 0.1) / (u.total + 0.1 * (u.types + 1))))
-        del plain
-        tokens = _caught_up(rows, u, buckets, discounts)
+        tokens = Tokens(rows, u, buckets)
+        known = tokens.per_doc((tokens.counts > 0)[tokens.code].astype(np.int64))
+        base = tokens.per_doc(np.log10((tokens.counts + 0.1) / (u.total + 0.1 * (u.types + 1)))[tokens.code])
+        _catch_up(tokens, rows, discounts)
         return pd.DataFrame({
             "doc_id": pd.array(tokens.docs, dtype="Int64"), "learned": tokens.may, "n_tokens": tokens.lengths, "n_known": known,
             "train_tokens": u.total, "base_score": base, "score": tokens.per_doc(tokens.score)})
     return run
 
 
-def _ids(counted: DataFrame) -> DataFrame:
-    """(word, c, id): dense ids in the order of falling counts.
-
-    Rows are sorted by ranges and numbered where they lie; the numbers of rows in the partitions
-    before, one a partition, are added.
-    """
-    bits = 33  # of monotonically_increasing_id: partition above, row below
-    numbered = materialise(counted.withColumn("less", -F.col("c")).repartitionByRange("less", "word").sortWithinPartitions(
-        "less", "word").select("word", "c", F.monotonically_increasing_id().alias("at")), "words")
-    sizes = numbered.groupBy(F.shiftright("at", bits).alias("part")).count().orderBy("part").collect()
-    before, offsets = 0, []
-    for r in sizes:
-        offsets.append((r["part"], before))
-        before += r["count"]
-    shift = counted.sparkSession.createDataFrame(offsets, "part long, before long")
-    return numbered.withColumn("part", F.shiftright("at", bits)).join(F.broadcast(shift), "part").select(
-        "word", "c", (F.col("before") + F.col("at").bitwiseAND((1 << bits) - 1)).alias("id"))
-
-
 def score(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text",
           bucket_tokens: int = BUCKET_TOKENS, order: int = ORDER) -> DataFrame:
     """(id, learned, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
@@ -441,37 +440,31 @@ def score(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.coalesce(may_learn, F.lit(False)).alias("_learn"))
-    blocks = materialise(rows.mapInArrow(_blocks, BLOCK), "blocks")
-
-    placed = blocks.select("block", F.posexplode("words").alias("at", "word"), "counts").select(
-        "block", "at", "word", F.get("counts", F.col("at")).alias("n"))
-    counted = placed.where("n > 0").groupBy("word").agg(F.sum("n").alias("c"))
-    ranked = _ids(counted)
-    steps = [(r["c"], r["k"]) for r in ranked.groupBy("c").agg(F.count("*").alias("k")).collect()]
-    learned = blocks.select(F.explode("learn").alias("x")).agg(F.count_if("x").alias("n")).first()["n"]
-    unigrams = Unigrams.of(steps, learned or 0)
-    uni = spark.sparkContext.broadcast(unigrams)
-    buckets = max(1, math.ceil(unigrams.total / bucket_tokens))
-
-    ids = placed.select("block", "at", "word").join(ranked.select("word", "id"), "word").groupBy("block").agg(
-        F.collect_list(F.shiftleft(F.col("at").cast("long"), 32) + F.col("id")).alias("ids"))
-    full = blocks.select("block", "doc_ids", "learn", "lengths", "codes", F.size("words").alias("n_words")).join(ids, "block", "left")
-    known = materialise(full.mapInArrow(_texts, PIECE), "texts")
-
-    discounts = [unigrams.discounts]
-    for level in range(2, order + 1):
-        if level == 2:
-            sent = known.mapInArrow(_first_sent(uni, buckets), PIECE)
+    known = materialise(rows.mapInArrow(_blocks, PIECE), "blocks")
+    size = known.agg(F.sum(F.get("nums", F.lit(0))).alias("tokens"), F.sum(F.get("nums", F.lit(1))).alias("texts")).first()
+    total, texts = int(size["tokens"] or 0), int(size["texts"] or 0)
+    buckets = max(1, math.ceil(total / bucket_tokens))
+
+    discounts, uni = [], None
+    for level in range(1, order + 1):
+        if level == 1:
+            sent, count = known.mapInArrow(_words_sent(buckets), PIECE), _count_words
         else:
             sent = known.groupBy("block").applyInPandas(_sent(uni, buckets, list(discounts)), PIECE)
-        counts = materialise(sent.groupBy("bucket").applyInPandas(_count_bucket(level, discounts[-1]), PIECE), f"grams-of-{level}")
+            count = _count_bucket(level, discounts[-1])
+        counts = materialise(sent.groupBy("bucket").applyInPandas(count, PIECE), f"grams-of-{level}")
         of_count = {r["pos"]: r["n"] for r in counts.where("kind = 'counts'").select(F.posexplode("nums")).groupBy("pos").agg(
             F.sum("col").alias("n")).collect()}
+        known = known.unionByName(counts.where("kind = 'reply'"))
+        if level == 1:
+            unigrams = Unigrams(total, int(of_count.get(KEPT + 1, 0)), texts, [of_count.get(i, 0) for i in range(KEPT + 1)])
+            uni = spark.sparkContext.broadcast(unigrams)
+            discounts.append(unigrams.discounts)
+            continue
         discounts.append(good_turing([of_count.get(i, 0) for i in range(KEPT + 1)]))
         whole = counts.where("kind = 'split'").groupBy("context").agg(F.array(*[
             F.sum(F.get("nums", F.lit(i))) for i in range(KEPT + 2)]).alias("nums"))
-        needed = counts.where("kind = 'need'").select("block", "context").distinct().join(whole, "context").select(
-            F.lit("sums").alias("kind"), F.lit(level).alias("level"), F.lit(None).cast("long").alias("bucket"), "block", "context", "nums",
-            F.lit(None).cast("binary").alias("data"))
-        known = known.unionByName(counts.where("kind = 'reply'")).unionByName(needed)
+        known = known.unionByName(counts.where("kind = 'need'").select("block", "context").distinct().join(whole, "context").select(
+            F.lit("sums").alias("kind"), F.lit(level).alias("level"), F.lit(-1).cast("long").alias("bucket"), "block", "context", "nums",
+            F.lit(None).cast("binary").alias("data")))
     return known.groupBy("block").applyInPandas(_finished(uni, buckets, discounts), DOC).withColumnRenamed("doc_id", id_col)

@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -91,19 +92,20 @@ def test_hot_words_pairs_blocks_and_edges(spark, docs_of, order):
     compare(rows, [i % 3 != 0 for i, _ in rows], found, order)
 
 
-def test_a_pair_is_one_entry_a_block_and_counts_are_stored(spark):
-    docs = ["a b a b a b c", "a b c"]
-    index = {w: i for i, w in enumerate(["a", "b", "c", "\n"])}
-    uni = katz.Unigrams.of([(4, 2), (2, 2)], 2)
-    codes = np.array([index[w] for d in docs for w in [*d.split(), "\n"]], dtype="<u4")
-    text = katz._pack(docs=[1, 2], learn=[True, True], lengths=np.array([8, 4]), codes=katz._planes(codes), words=np.arange(4, dtype=np.int32))
-    sent = list(katz.Tokens(text, uni, 1).sent(2, 7))
-    assert len(sent) == 1
-    out = katz._count_bucket(2, uni.discounts)(katz._frame(sent))
-    table = spark.createDataFrame([(r.kind, int(r.level), int(r.bucket), r.data) for r in out.itertuples() if r.kind == "counts"],
-                                  "kind string, level int, bucket long, data binary")
-    found = {(r["context"], r["word"]): r["count"] for r in katz.counted(table).collect()}
-    assert found == {(katz.START, 0): 2, (0, 1): 4, (1, 0): 2, (1, 2): 2, (2, 3): 2}
+def test_a_pair_is_one_entry_a_block_and_counts_are_stored(spark, docs_of, monkeypatch):
+    made, keep = {}, katz.materialise
+    monkeypatch.setattr(katz, "materialise", lambda df, name: made.setdefault(name, keep(df, name)))
+    rows = [(1, "a b " * 300 + "c"), (2, "a b c")]
+    katz.score(docs_of(rows).coalesce(1), F.lit(True), bucket_tokens=10_000, order=3).collect()
+    assert made["grams-of-2"].where("kind = 'reply'").count() == 1  # one block, one bucket
+    words = katz._unpack(made["grams-of-1"].where("kind = 'counts'").first()["data"])
+    name = {w: i for i, w in enumerate(zlib.decompress(words["words"]).split(b" "))} | {"<s>": katz.START}
+    pairs = {(r["context"], r["word"]): (r["count"], r["name"]) for r in katz.counted(made["grams-of-2"]).collect()}
+    of = lambda x, y: (name[x], name[y])
+    assert {k: c for k, (c, _) in pairs.items()} == {
+        of("<s>", b"a"): 2, of(b"a", b"b"): 301, of(b"b", b"a"): 299, of(b"b", b"c"): 2, of(b"c", b"\n"): 2}
+    triples = {(r["context"], r["word"]): r["count"] for r in katz.counted(made["grams-of-3"]).collect()}
+    assert triples[(pairs[of(b"a", b"b")][1], name[b"a"])] == 299 and triples[(pairs[of(b"a", b"b")][1], name[b"c"])] == 2
 
 
 def test_repeated_rows_null_ids_and_empty_tables(spark, docs_of):
