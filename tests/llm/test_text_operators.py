@@ -285,7 +285,7 @@ def test_toxic_expressions_are_learned(spark, docs_of):
     assert all(got[i] < 0.5 for i in (1, 2, 3))
 
 
-def test_probabilities_sum_to_one():
+def test_ratios_are_finite():
     counts = {"^^^a": (3, 1), "^^^b": (1, 9), "^^ab": (2, 2), "^abc": (0, 4), "^^ba": (5, 0), "^^^$": (1, 1)}
     grams, contexts = toxicity._ratios(counts, 0.75)
     assert set(grams) == set(counts) and all(np.isfinite(v) for v in [*grams.values(), *contexts.values()])
