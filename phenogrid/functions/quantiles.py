@@ -11,7 +11,8 @@ and only the values inside the bracket are ordered, so no task ever sees a whole
 2. where a range may still hold too many distinct values to order in one task, it is narrowed
    by sketching inside it, as often as needed;
 3. one more pass counts, map-side, the values under the range and the distinct values in it;
-4. a running sum over those few distinct values finds the exact ranks.
+4. a running sum over those few distinct values finds the exact ranks; a range that doesn't
+   hold them would be an error, not a wrong value.
 """
 
 from __future__ import annotations
@@ -113,6 +114,10 @@ def _rank_inside(vals, bracket, keys, name, prob, few):
                                  .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     hit = lambda idx: F.min(F.when(F.col("_v").isNotNull() & (F.col("_cum") > idx), F.col("_v")))
     agg = ranked.groupBy(*keys).agg(
-        hit(F.floor(pos)).alias("_a"), hit(F.ceil(pos)).alias("_b"),
-        F.max(pos - F.floor(pos)).alias("_f"))
-    return agg.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias(name))
+        hit(F.floor(pos)).alias("_a"), hit(F.ceil(pos)).alias("_b"), F.max(F.floor(pos)).alias("_at"),
+        F.max(pos - F.floor(pos)).alias("_f"),
+        F.coalesce(F.max(F.when(F.col("_v").isNull(), F.col("_c"))), F.lit(0)).alias("_under"))
+    missed = F.col("_at").isNotNull() & (F.col("_b").isNull() | (F.col("_under") > F.col("_at")))
+    found = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")
+    return agg.select(*keys, F.when(missed, F.raise_error(F.lit(f"the range of {name} misses its rank")).cast("double")).otherwise(
+        found).alias(name))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from phenogrid.functions import dates, geo
+from phenogrid.functions import dates, geo, quantiles
 from phenogrid.functions.asof import asof_join
 from phenogrid.functions.quantiles import exact_quantiles
 from phenogrid.functions.ranking import global_rank
@@ -40,6 +40,15 @@ def test_quantile_ranges_are_narrowed(spark, limit):
         assert got[g] == pytest.approx(tuple(sub.v.quantile([0.5, 0.9, 0.0])), abs=1e-9), g
 
 
+@pytest.mark.parametrize("low, high", [(0.0, 30.0), (70.0, 99.0)])
+def test_a_range_that_misses_its_rank_is_an_error(spark, low, high):
+    vals = spark.range(100).selectExpr("'a' AS g", "CAST(id AS double) AS _v")
+    at = lambda lo, hi: spark.createDataFrame([("a", 100, lo, hi)], "g string, _n long, _lo double, _hi double")
+    assert quantiles._rank_inside(vals, at(40.0, 60.0), ["g"], "m", 0.5, True).first().m == 49.5
+    with pytest.raises(Exception, match="misses its rank"):
+        quantiles._rank_inside(vals, at(low, high), ["g"], "m", 0.5, True).collect()
+
+
 def test_exact_quantiles_of_nothing(spark):
     empty = spark.createDataFrame([], "g string, v double")
     assert exact_quantiles(empty, ["g"], "v", {"m": 0.5}).count() == 0
