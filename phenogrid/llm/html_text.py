@@ -227,9 +227,9 @@ def _hidden(node: Node) -> bool:
                 node.tag == "input" and a.get("type", "").lower() == "hidden")))
 
 
-#: A table whose alignment would take more blanks than this for each character of text has its cells
-#: two blanks apart instead.
-LOOSE = 20
+#: Blanks before a cell: a column that starts farther off is reached by this many. It holds for every cell
+#: alike, whatever the size of its table, and bounds the blanks by the number of lines in cells.
+GAP = 200
 
 
 class Page:
@@ -348,17 +348,15 @@ def _table(node: Node) -> list[str]:
     start, left = {}, 0
     for col in sorted(widths):
         start[col], left = left, left + widths[col] + 2
-    sizes = [(start[col], len(x)) for row in placed for col, lines in row for x in lines if x]
-    if sum(before for before, _ in sizes) > LOOSE * (10_000 + sum(size for _, size in sizes)):
-        start = dict.fromkeys(start, 0)
     out = captions
     for row in placed:
         for k in range(max((len(lines) for _, lines in row), default=0)):
             parts, used = [], 0
             for col, lines in row:
                 if k < len(lines) and lines[k]:
-                    parts += [" " * max(start[col] - used, 2 if parts else 0), lines[k]]
-                    used = max(start[col], used + 2 if used else 0) + _width(lines[k])
+                    gap = min(max(start[col] - used, 2 if parts else 0), GAP)
+                    parts += [" " * gap, lines[k]]
+                    used += gap + _width(lines[k])
             out.append("".join(parts))
     return out
 
