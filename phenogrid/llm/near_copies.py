@@ -6,7 +6,7 @@ texts of similarity 0.8 miss all 32 bands with a chance of 3 in a million, more
 less. Every pair of a bucket is then measured by its whole shingle sets, so no pair below the limit
 is linked. Buckets with the same members are measured once. A bucket of more than ``PAIRED`` texts
 is cut into parts, and each two parts are measured together, so that a group in memory is bounded
-and no pair is left out. Only as many links leave a group as connect what is similar in it.
+and no pair is left out. Candidates of other methods (``pairs``) are measured beside them. Only as many links leave a group as connect what is similar in it.
 """
 
 from __future__ import annotations
@@ -152,9 +152,11 @@ def candidate_groups(classes: DataFrame, paired: int = PAIRED) -> DataFrame:
     return few.union(many)
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paired: int = PAIRED) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paired: int = PAIRED,
+                pairs: DataFrame | None = None) -> DataFrame:
     """(id, text_id, root, component_id) for every row of ``docs``.
 
+    ``pairs(a, b)`` are more candidates by text id, found by another method; they are measured like those of the bands.
     ``root`` names the group of texts reachable over pairs of similarity SIMILAR or more, and
     component_id is the smallest id in it. NULL, empty and blank texts are one group. A NULL id is
     ignored when the smallest is taken (NULL if there is no other).
@@ -162,7 +164,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = materialise(docs.select(F.col(id_col).alias(id_col), _prints(F.col(text_col)).alias("p")).select(
         id_col, "p.text_id", "p.bands"), "prints")
     classes = prints.groupBy("text_id").agg(F.min(id_col).alias("_first"), F.first("bands").alias("bands"))
-    groups = materialise(candidate_groups(classes, paired), "groups")
+    groups = candidate_groups(classes, paired)
+    if pairs is not None:
+        groups = groups.union(pairs.select(F.xxhash64(F.lit("pair"), "a", "b").alias("gid"), F.explode(F.array("a", "b")).alias("text_id")))
+    groups = materialise(groups, "groups")
     named = docs.select(_text_id(F.col(text_col)).alias("text_id"), F.col(text_col).alias("_text"))
     texts = named.join(groups.select("text_id").distinct(), "text_id", "left_semi").groupBy("text_id").agg(F.first("_text").alias("_text"))
     sets = materialise(texts.select("text_id", _shingles("_text").alias("shingles")), "shingles")

@@ -30,6 +30,8 @@ SHINGLE = 3
 BLOCK_BITS, BLOCKS = 16, 4
 DISTANCE = 2
 PAIRED = 64
+#: Texts that one text of their class stands for when near copies are measured.
+LED = 1000
 _CHUNK = 1 << 16
 
 
@@ -106,6 +108,12 @@ def fingerprint_links(fps: DataFrame, paired: int = PAIRED) -> DataFrame:
     return pairs.union(stars)
 
 
+def fingerprint_classes(fps: DataFrame) -> DataFrame:
+    """Distinct fingerprints with their columns and ``_root``, the smallest one reachable over links."""
+    roots = components(fingerprint_links(fps.select("fp")))
+    return materialise(fps.join(roots, fps.fp == roots.node, "left").select(*fps.columns, F.coalesce("root", "fp").alias("_root")), "classes")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id) for every row of ``docs``.
 
@@ -115,23 +123,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is no other); repeated rows stay repeated; an empty table gives an empty result.
     """
     prints = materialise(docs.select(F.col(id_col).alias(id_col), fingerprint(F.col(text_col)).alias("fp")), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min(id_col).alias("_first"))
-    roots = components(fingerprint_links(classes.select("fp")))
-    rooted = materialise(classes.join(roots, classes.fp == roots.node, "left").select(
-        "fp", "_first", F.coalesce("root", "fp").alias("_root")), "classes")
+    rooted = fingerprint_classes(prints.groupBy("fp").agg(F.min(id_col).alias("_first")))
     least = rooted.groupBy("_root").agg(F.min("_first").alias("component_id"))
     named = rooted.join(least, "_root").select("fp", "component_id")
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
 
 
+def candidate_pairs(docs: DataFrame, text_col: str = "text", led: int = LED) -> DataFrame:
+    """(a, b): text ids (``near_copies``) of texts that the fingerprints put into one class, each with one that stands for it.
+
+    A class of more than ``led`` texts has several of those, so none is in many more pairs than that.
+    """
+    text = F.col(text_col)
+    texts = materialise(docs.select(near_copies.text_id_of(text).alias("text_id"), fingerprint(text).alias("fp")).groupBy("text_id").agg(
+        F.first("fp").alias("fp")), "fingerprints")
+    classes = fingerprint_classes(texts.select("fp").distinct())
+    sizes = texts.join(classes, "fp").groupBy("_root").agg(F.count("*").alias("_n")).where("_n > 1")
+    part = F.pmod(F.xxhash64("text_id"), F.ceil(F.col("_n") / led).cast("long"))
+    members = materialise(texts.join(classes, "fp").join(sizes, "_root").select("_root", part.alias("_part"), "text_id"), "members")
+    leaders = members.groupBy("_root", "_part").agg(F.min("text_id").alias("b"))
+    return members.join(leaders, ["_root", "_part"]).where("text_id <> b").select(F.col("text_id").alias("a"), "b")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of near copies (``near_copies``): the row whose id is the component's.
+    """One document of each group of near copies: the row whose id is the component's.
 
-    Groups are by similarity, not by the fingerprints above, which tell little beyond exact copies.
+    Texts of one class of fingerprints are candidates, and so are those that agree in a band of min-hashes
+    (``near_copies``): two texts of similarity 0.8 differ in some ten bits, which blocks can't find. Every
+    candidate is measured by its whole shingle sets, and only similar texts are linked.
     Rows without an id can't represent a group and go, unless their group has no id at all. Of
     rows that repeat the kept id, one stays: the smallest by all columns as text.
     """
-    found = materialise(near_copies.near_copies(docs, id_col, text_col), "near-copies")
+    found = materialise(near_copies.near_copies(docs, id_col, text_col, pairs=candidate_pairs(docs, text_col)), "near-copies")
     keep = found.where(F.col(id_col) == F.col("component_id")).select(
         F.col(id_col).alias("_kept")).distinct()
     kept = docs.join(keep, F.col(id_col) == F.col("_kept"), "left_semi")
