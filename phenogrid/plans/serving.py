@@ -21,7 +21,7 @@ STATIC_USED = ["latitude", "longitude", "historical_max_ndvi", "peak_month"]
 def train_bundle(spark, d, path: str, version: str, kind: str = "linear") -> str:
     """Fit scaler, codes, caps, profiles and model on the train rows and store them as one version."""
     panel = fplan.stored_panel(spark, d)
-    df = materialise(fplan.build_features(panel), "features", bucket="mws_id")
+    df = fplan.stored_features(spark, d, panel)
     scaler = cut_lineage(scaling.fit_scaler(df.where("split = 'train'")))
     samples = materialise(windows.split_samples(scaling.apply_scaler(df, scaler), dynamic=SERVED, static=STATIC_USED), "samples")
     model = forecast.residual_model(samples, STATIC_USED, kind, iterations=10, depth=3)
@@ -32,7 +32,8 @@ def train_bundle(spark, d, path: str, version: str, kind: str = "linear") -> str
 
 def serving_history(spark, d) -> DataFrame:
     """The whole grid with sentinels and gaps as NULL: serving fills what training drops."""
-    return materialise(clean.null_sentinels(clean.rename_source(t.source_panel(spark, d))), "serving", bucket="mws_id")
+    with t.sized(spark, d):
+        return materialise(clean.null_sentinels(clean.rename_source(t.source_panel(spark, d))), "serving", bucket="mws_id")
 
 
 def serving_requests(spark, d) -> DataFrame:
