@@ -116,8 +116,8 @@ class GapTracker(StatefulProcessor):
     """Running gap of one location over steps that may arrive out of order.
 
     A step is held until the watermark has passed its date; then no earlier step can come any more, and held
-    steps get their rows in order. State is the held steps (at most those inside the watermark and one delivery), the running
-    gap and the last step answered; it is dropped when nothing came for ``expire_days``.
+    steps get their rows in order. State is the held steps (at most those inside the watermark and one delivery; in one entry,
+    as every access is a message to the store), the running gap and the last step answered; it is dropped when nothing came for ``expire_days``.
     """
 
     def __init__(self, expire_days: int):
@@ -125,25 +125,32 @@ class GapTracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "step int", "missing boolean, due long")
+        self.held = handle.getMapState("held", "block int", "steps array<int>, missing array<boolean>, due array<bigint>")
         self.known = handle.getValueState("known", "gap int, last int, due long")
 
+    def _read(self) -> dict[int, tuple[bool, int]]:
+        return {s: (m, d) for _, block in self.held.iterator() for s, m, d in zip(*block)}
+
+    def _write(self, held: dict[int, tuple[bool, int]]) -> None:
+        self.held.updateValue((0,), (list(held), [m for m, _ in held.values()], [d for _, d in held.values()]))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         known = self.known.get() if self.known.exists() else None
-        first = None
+        first, held = None, self._read()
         for frame in rows:
             frame = frame[frame["step"] > (known[1] if known else -1)].drop_duplicates("step")
             due = (frame["due"].astype("datetime64[ms]").astype("int64")).tolist()
             for step, missing, at in zip(frame["step"].tolist(), frame["missing"].tolist(), due):
-                self.held.updateValue((step,), (bool(missing), at))
+                held[step] = bool(missing), at
                 first = at if first is None else min(first, at)
         if first is not None:
+            self._write(held)
             self.handle.registerTimer(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        held = sorted((k[0], v[0], v[1]) for k, v in self.held.iterator())
+        held = sorted((step, missing, at) for step, (missing, at) in self._read().items())
         ready = [h for h in held if h[2] <= now]
         gap, last, due = self.known.get() if self.known.exists() else (0, -1, 0)
         out = []
@@ -156,8 +163,7 @@ class GapTracker(StatefulProcessor):
             if len(ready) == len(held):
                 self.held.clear()
             else:
-                for step, _, _ in ready:
-                    self.held.removeKey((step,))
+                self._write({step: (missing, at) for step, missing, at in held if at > now})
         rest = [h[2] for h in held if h[2] > now]
         if rest:
             self.handle.registerTimer(min(rest))
