@@ -15,9 +15,15 @@ from phenogrid.sources import tables as t
 
 
 def scored(spark, d):
-    """Every sample with its forecast, persistence value and seasonal normal."""
-    s = wplan.plain_samples(spark, d).select("mws_id", "target_date", "split", F.col("target").alias("actual"), F.col("current_ndvi").alias("current"))
-    quarterly = features.fit_quarterly(fplan.split_panel(spark, d).where("split = 'train'"))
+    """Every sample with its forecast, persistence value and seasonal normal.
+
+    Scores read it several times, and it reads the panel twice: the panel's few columns are stored once.
+    """
+    with t.sized(spark, d):
+        panel = materialise(fplan.split_panel(spark, d).select(
+            "mws_id", "date", "split", "NDVI", "precipitation", "temperature_2m"), "panel", bucket="mws_id")
+    s = wplan.plain_samples(spark, d, panel).select("mws_id", "target_date", "split", F.col("target").alias("actual"), F.col("current_ndvi").alias("current"))
+    quarterly = features.fit_quarterly(panel.where("split = 'train'"))
     return forecast.damped(forecast.quarter_climatology(s, quarterly, "target_date"))
 
 
