@@ -10,7 +10,8 @@ Latin-1 characters inside these expressions.
 It is applied to distinct words, of which text repeats most: those in chunks that a task meets
 twice, the ``FREQUENT`` most frequent ones over all rows at most, each of ``LONGEST`` bytes at most.
 This bounded dictionary is broadcast. Every other word is folded where it stands by the same
-merges in ``merge_word``; folding all of them by the expression costs several times the time.
+merges: words of one length together in ``Merges``, long ones in ``merge_word``; folding all of them
+by the expression costs several times the time.
 """
 
 from __future__ import annotations
@@ -36,6 +37,11 @@ LONGEST = 64
 MAPS = 16384
 _NONE = 1 << 30
 _CACHED = 250_000
+# chunks kept by a worker in each of two generations, and characters of texts that it encodes together
+_KEPT = 100_000
+_TOGETHER = 1 << 20
+# words of more bytes, or of a length that few others have, are merged one by one
+_SHORT, _FEW = 32, 8
 # cuts only where a run of white space begins, so no match of a pattern of this family crosses a cut
 _BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(rf"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
@@ -129,6 +135,82 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Merges:
+    """Merges words of the same length together: each round joins the first best neighbours of every word left.
+
+    A sequence is known by its rank. Bytes without a rank have numbers above all ranks, and may not be left in the end.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.top = ranks, max(ranks.values()) + 1
+        number = {bytes([b]): self.top + b for b in range(256)} | ranks
+        self.many = self.top + 256
+        pairs = {number[a] * self.many + number[b]: rank for s, rank in ranks.items() for i in range(1, len(s))
+                 if (a := s[:i]) in number and (b := s[i:]) in number}
+        self.keys = np.array(sorted(pairs), dtype=np.int64)
+        self.values = np.array([*[pairs[k] for k in self.keys.tolist()], _NONE], dtype=np.int32)
+        self.keys = np.append(self.keys, np.iinfo(np.int64).max)
+        self.of_byte = np.array([number[bytes([b])] for b in range(256)], dtype=np.int32)
+        every = self.of_byte.astype(np.int64)
+        self.of_bytes = self._rank(every[:, None], every[None, :])
+
+    def _rank(self, left, right):
+        key = left * self.many + right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.values[at], _NONE).astype(np.int32)
+
+    def _same_length(self, words: list[bytes]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(words)
+        raw = np.frombuffer(b"".join(words), dtype=np.uint8).reshape(len(words), -1)
+        rows, ids, held = np.arange(len(words)), self.of_byte[raw], self.of_bytes[raw[:, :-1], raw[:, 1:]]
+        while len(rows):
+            n = held.shape[1]
+            line = np.arange(len(rows))
+            j = held.argmin(axis=1) if n else np.zeros(len(rows), dtype=np.int64)
+            best = held[line, j] if n else np.full(len(rows), _NONE, dtype=np.int32)
+            ended = best == _NONE
+            if ended.any():
+                if (ids[ended] >= self.top).any():
+                    raise KeyError("a byte without a rank")
+                blob, size = ids[ended].astype("<i4").tobytes(), 4 * ids.shape[1]
+                for k, row in enumerate(rows[ended].tolist()):
+                    out[row] = blob[k * size:(k + 1) * size]
+                going = ~ended
+                rows, ids, held, j, best = rows[going], ids[going], held[going], j[going], best[going]
+                if not len(rows):
+                    break
+                line = np.arange(len(rows))
+            # the two become one at j; the pair at j goes, and those on both sides are new
+            ids[line, j] = best
+            later = np.arange(n)[None, :] > j[:, None]
+            ids = np.where(later, ids[:, 1:], ids[:, :-1])
+            held = np.where(later[:, 1:] | (np.arange(n - 1)[None, :] == j[:, None]), held[:, 1:], held[:, :-1])
+            wide = ids.astype(np.int64)
+            left, right = np.flatnonzero(j > 0), np.flatnonzero(j < n - 1)
+            held[left, j[left] - 1] = self._rank(wide[left, j[left] - 1], wide[left, j[left]])
+            held[right, j[right]] = self._rank(wide[right, j[right]], wide[right, j[right] + 1])
+        return out
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, packed."""
+        out: list[bytes] = [b""] * len(words)
+        alike: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            rank = self.ranks.get(w)
+            if rank is None:
+                alike.setdefault(len(w), []).append(i)
+            else:
+                out[i] = rank.to_bytes(4, "little")
+        for length, places in alike.items():
+            if 0 < length <= _SHORT and len(places) >= _FEW:
+                found = self._same_length([words[i] for i in places])
+            else:
+                found = [np.array(merge_word(words[i], self.ranks), dtype="<i4").tobytes() for i in places]
+            for i, ids in zip(places, found):
+                out[i] = ids
+        return out
+
+
 def _count_chunks(batches):
     """(chunk, n) of a task's texts, for chunks that come twice before the counter is emptied."""
     chunks: Counter = Counter()
@@ -179,34 +261,49 @@ class Coder:
     """Encodes texts in a worker; chunks seen lately are kept in two generations."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, known: dict[str, bytes]):
-        self.ranks, self.match, self.known = ranks, regex.compile(pattern), known
+        self.merges, self.match, self.known = Merges(ranks), regex.compile(pattern), known
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for sequence, rank in ranks.items():
             self.bytes_of[rank] = sequence
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _chunk(self, chunk: str) -> bytes:
-        ids = self.old.get(chunk)
-        if ids is None:
-            ids = b"".join([
-                found if (found := self.known.get(w)) is not None
-                else np.array(merge_word(w.encode("utf-8", "replace"), self.ranks), dtype="<i4").tobytes()
-                for w in self.match.findall(chunk)])
-        if len(chunk) <= LONGEST:
-            if len(self.young) >= _CACHED:
-                self.old, self.young = self.young, {}
-            self.young[chunk] = ids
-        return ids
+    def _encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        split = [self.match.findall(c) for c in chunks]
+        words = {w: self.known.get(w) for some in split for w in some}
+        rest = [w for w, ids in words.items() if ids is None]
+        words.update(zip(rest, self.merges([w.encode("utf-8", "replace") for w in rest])))
+        return {c: b"".join([words[w] for w in some]) for c, some in zip(chunks, split)}
+
+    def _encode_some(self, texts: list[str | None]) -> list[np.ndarray]:
+        split = [_CHUNK.findall(t) if t else [] for t in texts]
+        kept = self.young
+        fresh = {c: self.old.get(c) for c in set().union(*split) if c not in kept}
+        fresh.update(self._encode_chunks([c for c, ids in fresh.items() if ids is None]))
+        kept.update(fresh)
+        out = [np.frombuffer(b"".join([kept[c] for c in chunks]), dtype="<i4") for chunks in split]
+        for c in fresh:
+            if len(c) > LONGEST:
+                del kept[c]
+        if len(kept) > _KEPT:
+            self.old, self.young = kept, {}
+        return out
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text; the words of some texts that none before had are merged together."""
+        out: list[np.ndarray] = []
+        some: list[str | None] = []
+        size = 0
+        for t in texts:
+            some.append(t)
+            size += len(t) if t else 0
+            if size >= _TOGETHER:
+                out += self._encode_some(some)
+                some, size = [], 0
+        return out + self._encode_some(some)
 
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, dtype="<i4")
-        out = []
-        for c in _CHUNK.findall(text):
-            ids = self.young.get(c)
-            out.append(self._chunk(c) if ids is None else ids)
-        return np.frombuffer(b"".join(out), dtype="<i4")
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
@@ -240,7 +337,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
             ranks, known = sent.value
             _coders[name] = Coder(ranks, pattern, known)
         coder = _coders[name]
-        found = [coder.encode(t) for t in texts]
+        found = coder.encode_all(texts.tolist())
         return pd.DataFrame({"token_ids": found, "decoded": [coder.decode(f) for f in found]})
 
     return docs.withColumn(into, run(F.col(text_col)))
