@@ -22,6 +22,7 @@ import json
 import re
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,7 @@ _NONE = 1 << 30
 _CACHED = 250_000
 # chunks kept by a worker in each of two generations, and characters of texts that it encodes together
 _KEPT = 100_000
-_TOGETHER = 1 << 20
+_TOGETHER = 1 << 18
 # words of more bytes, or of a length that few others have, are merged one by one
 _SHORT, _FEW = 32, 8
 # cuts only where a run of white space begins, so no match of a pattern of this family crosses a cut
@@ -257,10 +258,40 @@ def _smaller_batches(spark) -> None:
             spark.conf.set(key, value)
 
 
+class Known:
+    """Ids of the dictionary's words, as a few arrays: a worker's dict of as many words takes four times the memory."""
+
+    def __init__(self, words: list[bytes], ids: list[bytes]):
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        self.words, self.word_ends = self._packed([words[i] for i in order.tolist()])
+        self.ids, self.id_ends = self._packed([ids[i] for i in order.tolist()])
+
+    @staticmethod
+    def _packed(items: list[bytes]):
+        return b"".join(items), np.cumsum([0, *map(len, items)])
+
+    def find(self, words: list[bytes]) -> list[bytes | None]:
+        """Packed ids of each word; None for a word that isn't in the dictionary."""
+        out: list[bytes | None] = [None] * len(words)
+        if not len(self.hashes):
+            return out
+        wanted = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        hits = np.flatnonzero(self.hashes[at] == wanted)
+        at = at[hits]
+        for i, a, b, c, d in zip(hits.tolist(), self.word_ends[at].tolist(), self.word_ends[at + 1].tolist(),
+                                 self.id_ends[at].tolist(), self.id_ends[at + 1].tolist()):
+            if self.words[a:b] == words[i]:
+                out[i] = self.ids[c:d]
+        return out
+
+
 class Coder:
-    """Encodes texts in a worker; chunks seen lately are kept in two generations."""
+    """Encodes texts in a worker; chunks seen lately are kept in two generations until the task ends."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, known: dict[str, bytes]):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, known: Known):
         self.merges, self.match, self.known = Merges(ranks), regex.compile(pattern), known
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for sequence, rank in ranks.items():
@@ -270,9 +301,13 @@ class Coder:
 
     def _encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
         split = [self.match.findall(c) for c in chunks]
-        words = {w: self.known.get(w) for some in split for w in some}
-        rest = [w for w, ids in words.items() if ids is None]
-        words.update(zip(rest, self.merges([w.encode("utf-8", "replace") for w in rest])))
+        distinct = list({w for some in split for w in some})
+        raw = [w.encode("utf-8", "replace") for w in distinct]
+        found = self.known.find(raw)
+        rest = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(rest, self.merges([raw[i] for i in rest])):
+            found[i] = ids
+        words = dict(zip(distinct, found))
         return {c: b"".join([words[w] for w in some]) for c, some in zip(chunks, split)}
 
     def _encode_some(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -302,6 +337,10 @@ class Coder:
                 some, size = [], 0
         return out + self._encode_some(some)
 
+    def forget(self) -> None:
+        """Drops the chunks: idle workers of a session would each keep their own."""
+        self.young, self.old = {}, {}
+
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all([text])[0]
 
@@ -326,18 +365,22 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
         "word", fold_merges(F.col("word"), ranks).alias("ids")).toArrow()
     ids = words.column("ids").combine_chunks()
     flat, cuts = np.asarray(ids.values, dtype="<i4").tobytes(), np.asarray(ids.offsets).tolist() if len(ids) else []
-    known = {w: flat[4 * a:4 * b] for w, a, b in zip(words.column("word").to_pylist(), cuts, cuts[1:])}
+    known = Known([w.encode() for w in words.column("word").to_pylist()], [flat[4 * a:4 * b] for a, b in zip(cuts, cuts[1:])])
     sent = docs.sparkSession.sparkContext.broadcast((ranks, known))
     name = uuid.uuid4().hex
 
     @F.pandas_udf(ENCODED)
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         if name not in _coders:
             _coders.clear()
             ranks, known = sent.value
             _coders[name] = Coder(ranks, pattern, known)
         coder = _coders[name]
-        found = coder.encode_all(texts.tolist())
-        return pd.DataFrame({"token_ids": found, "decoded": [coder.decode(f) for f in found]})
+        try:
+            for texts in batches:
+                found = coder.encode_all(texts.tolist())
+                yield pd.DataFrame({"token_ids": found, "decoded": [coder.decode(f) for f in found]})
+        finally:
+            coder.forget()
 
     return docs.withColumn(into, run(F.col(text_col)))
