@@ -18,9 +18,12 @@ SERVED = ["NDVI", "ndvi_q_deviation", "month_sin", "month_cos", "precipitation"]
 STATIC_USED = ["latitude", "longitude", "historical_max_ndvi", "peak_month"]
 
 
-def train_bundle(spark, d, path: str, version: str, kind: str = "linear") -> str:
-    """Fit scaler, codes, caps, profiles and model on the train rows and store them as one version."""
-    panel = fplan.stored_panel(spark, d)
+def train_bundle(spark, d, path: str, version: str, kind: str = "linear", history: DataFrame | None = None) -> str:
+    """Fit scaler, codes, caps, profiles and model on the train rows and store them as one version.
+
+    With a stored serving ``history`` the observations are not reduced to a panel again.
+    """
+    panel = fplan.stored_panel(spark, d, history)
     df = fplan.stored_features(spark, d, panel)
     scaler = cut_lineage(scaling.fit_scaler(df.where("split = 'train'")))
     samples = materialise(windows.split_samples(scaling.apply_scaler(df, scaler), dynamic=SERVED, static=STATIC_USED), "samples")
@@ -43,8 +46,8 @@ def serving_requests(spark, d) -> DataFrame:
 
 def served(spark, d) -> DataFrame:
     path = scratch_path(spark, "bundle")
-    train_bundle(spark, d, path, "1")
     history, req = serving_history(spark, d), serving_requests(spark, d)
+    train_bundle(spark, d, path, "1", history=history)
     lead = weather.climatology_future(req.select("mws_id", "anchor", "target").distinct(), history, cutoff="anchor").withColumnsRenamed(
         {"clim_precip_steps": "precip_steps", "clim_temp_steps": "temp_steps"})
     return serving.serve(req, history, lead, serving.load_bundle(spark, path))
