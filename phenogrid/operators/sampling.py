@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from phenogrid.functions.columns import ladder
 from phenogrid.functions.geo import distance_km
-from phenogrid.operators.spatial import containing_polygon, nearest_k
+from phenogrid.operators.spatial import containing_polygon, first_within, nearest_k
 from phenogrid.schema import (
     BUFFER_KM, CELL_FRACTION, MIN_POINTS, PROXY_KM, PROXY_TILE_KM, VEGETATED_CLASSES,
     VEGETATION_KM, VEGETATION_PENALTY_KM,
@@ -57,9 +57,9 @@ def vegetated(cover: DataFrame) -> DataFrame:
 
 def sampled_vegetation(sites: DataFrame, cover: DataFrame, cap: int, seed: int = 1) -> DataFrame:
     """Seeded sample of at most ``cap`` vegetated points around each site (the sampling operator)."""
-    near = nearest_k(sites.select(*SITE), SITE, vegetated(cover), "veg_id", None, target_at=("vlat", "vlon"), max_km=VEGETATION_KM)
-    draw = Window.partitionBy(*SITE).orderBy(F.xxhash64("veg_id", F.lit(seed)), "veg_id")
-    return near.withColumn("_d", F.row_number().over(draw)).where(F.col("_d") <= cap).drop("_d")
+    drawn = vegetated(cover).withColumn("_draw", F.xxhash64("veg_id", F.lit(seed)))
+    return first_within(sites.select(*SITE), SITE, drawn, ["_draw", "veg_id"], cap, VEGETATION_KM, target_at=("vlat", "vlon")).select(
+        *SITE, "veg_id", "vlat", "vlon", "km")
 
 
 def tier_two(sites: DataFrame, cells: DataFrame, catalogue: DataFrame, cover: DataFrame, k: int = MIN_POINTS) -> DataFrame:
