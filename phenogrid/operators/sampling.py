@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phenogrid.functions.columns import ladder
-from phenogrid.functions.geo import distance_km
-from phenogrid.operators.spatial import containing_polygon, first_within, nearest_k
+from phenogrid.functions.geo import distance_km, in_rings
+from phenogrid.operators.ordered import first_of_each
+from phenogrid.operators.spatial import GRID, containing_polygon, first_within, in_grid, listed_polygons, nearest_k
 from phenogrid.schema import (
     BUFFER_KM, CELL_FRACTION, MIN_POINTS, PROXY_KM, PROXY_TILE_KM, VEGETATED_CLASSES,
     VEGETATION_KM, VEGETATION_PENALTY_KM,
@@ -26,6 +27,15 @@ def sites_of(plots: DataFrame, villages: DataFrame) -> DataFrame:
     return containing_polygon(plots.select(*SITE).distinct(), villages, "village_no", ["village_no", "village"])
 
 
+def best_of_villages(sites: DataFrame, own: DataFrame, villages: DataFrame, k: int) -> DataFrame:
+    """The ``k`` cells of largest crop fraction of each village and tile that holds a site."""
+    asked = sites.where(F.col("village_no").isNotNull()).select("village_no", "tile").distinct()
+    regions = listed_polygons(asked.join(villages.select("village_no", "rings"), "village_no"))
+    cells = in_grid(own, "clon", "clat").withColumns({"_known": ~F.isnan("fraction"), "_less": -F.col("fraction")})
+    return first_of_each(regions, ["village_no", "tile"], cells, ["tile", *GRID], ["_known", "_less", "cell_id"], k,
+                         in_rings("clon", "clat", "rings"), block=2 * k)
+
+
 def tier_one(sites: DataFrame, cells: DataFrame, villages: DataFrame, k: int = MIN_POINTS) -> DataFrame:
     """Cells of the plot's own tile: in its village by crop fraction, then the nearest within 5 km.
 
@@ -33,11 +43,9 @@ def tier_one(sites: DataFrame, cells: DataFrame, villages: DataFrame, k: int = M
     village and tile; the fill comes from the bucketed nearest search.
     """
     own = eligible_cells(cells)
-    inside = containing_polygon(own, villages, "village_no", ["village_no"], at=("clon", "clat"), every=True)
-    rank = Window.partitionBy("village_no", "tile").orderBy(F.col("fraction").desc(), "cell_id")
-    best = inside.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= k)
+    best = best_of_villages(sites, own, villages, k)
     in_village = sites.join(best, ["village_no", "tile"]).select(
-        *SITE, "cell_id", "clat", "clon", F.lit(0).alias("_tier"), F.col("_r").cast("double").alias("_order"),
+        *SITE, "cell_id", "clat", "clon", F.lit(0).alias("_tier"), F.col("rank").cast("double").alias("_order"),
         distance_km("lat", "lon", "clat", "clon").alias("km"))
     near = nearest_k(sites.select(*SITE), SITE, own.withColumnRenamed("tile", "cell_tile"), "cell_id", k, max_km=BUFFER_KM,
                      start_km=BUFFER_KM / 4, group=["cell_tile"], eligible=F.col("cell_tile") == F.col("tile"))

@@ -58,3 +58,33 @@ def test_sample_goes_on_where_the_first_blocks_lie_outside(spark):
     got = {r.veg_id for r in sampling.sampled_vegetation(site, cover, 40).collect()}
     assert got == {r.id for r in order[500:540]}
 
+
+def test_first_polygon_meets_a_bounded_number_of_polygons(spark, monkeypatch):
+    box = "array(array({}))".format(", ".join(f"named_struct('lon', 77.0D + {x}, 'lat', 20.0D + {y})" for x, y in (
+        ("0.0D", "0.0D"), ("0.08D", "0.0D"), ("0.08D", "0.08D"), ("0.0D", "0.08D"), ("0.0D", "0.0D"))))
+    villages = spark.range(3_000).selectExpr("id village_no", "concat('v', id) village", f"{box} rings")
+    points = spark.range(40).selectExpr("id", "20.001D + id * 0.0001D lat", "77.001D + id * 0.0001D lon")
+    tested = _counting(spark, monkeypatch, "in_rings")
+    got = spatial.containing_polygon(points, villages, "village_no", ["village"]).collect()
+    assert len(got) == 40 and {r.village for r in got} == {"v0"}
+    # before, 3,000 for each point
+    assert tested.value <= 40 * 8
+
+
+def test_best_cells_of_a_village(spark):
+    ring = lambda x, y, w: [[(x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y)]]
+    shapes = [(1, "one", ring(77.0, 20.0, 0.15)), (2, "two", ring(77.05, 20.05, 0.2)), (3, "none", ring(79.0, 20.0, 0.1))]
+    villages = spark.createDataFrame(shapes, "village_no long, village string, rings array<array<struct<lon: double, lat: double>>>")
+    cells = spark.range(4_000).selectExpr("id cell_id", "case when id % 3 = 0 then 'a' else 'b' end tile", "20.0D + (id * 37 % 1000) * 0.0003D clat",
+                                          "77.0D + (id * 91 % 997) * 0.0003D clon", "(id * 13 % 50) / 50.0D fraction")
+    sites = spark.createDataFrame([(20.01, 77.01, "a", 1), (20.2, 77.2, "b", 2), (25.0, 77.0, "a", None)],
+                                  "lat double, lon double, tile string, village_no long")
+    got = {(r.village_no, r.tile, r["rank"]): r.cell_id for r in sampling.best_of_villages(sites, sampling.eligible_cells(cells), villages, 12).collect()}
+    want = {}
+    for no, tile, x, w in ((1, "a", 77.0, 0.15), (2, "b", 77.05, 0.2)):
+        y = x - 57.0
+        inside = cells.where((F.col("tile") == tile) & (F.col("fraction") >= sampling.CELL_FRACTION)
+                             & F.col("clon").between(x, x + w) & F.col("clat").between(y, y + w))
+        for i, r in enumerate(inside.orderBy(F.col("fraction").desc(), "cell_id").limit(12).collect()):
+            want[no, tile, i + 1] = r.cell_id
+    assert got == want and len(got) == 24
