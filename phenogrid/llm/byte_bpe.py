@@ -40,12 +40,13 @@ _NONE = 1 << 30
 _CACHED = 250_000
 # chunks kept by a worker in each of two generations, and characters of texts that it encodes together
 _KEPT = 100_000
-_TOGETHER = 1 << 18
+_TOGETHER = 1 << 19
 # words of more bytes, or of a length that few others have, are merged one by one
 _SHORT, _FEW = 32, 8
 # cuts only where a run of white space begins, so no match of a pattern of this family crosses a cut
 _BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(rf"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
+_BLANKS = frozenset(filter(re.compile(f"[{_BLANK}]").match, map(chr, range(0x3001))))
 ENCODED = "struct<token_ids: array<int>, decoded: binary>"
 
 
@@ -299,25 +300,48 @@ class Coder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
+    def _matches(self, chunks: list[str]) -> tuple[list[str], list[int]]:
+        """Matches of all chunks, one after the other, and where those of each end.
+
+        Chunks that begin with blanks and end with none are matched as one text: what follows each is a blank, as where it was cut.
+        """
+        words = self.match.findall("".join(chunks))
+        sizes = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
+        ends = np.cumsum(np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks)))
+        at = np.searchsorted(sizes, ends)
+        if len(words) and sizes[-1] == ends[-1] and (sizes[at] == ends).all():
+            return words, (at + 1).tolist()
+        # a pattern that leaves characters out or crosses a cut
         split = [self.match.findall(c) for c in chunks]
-        distinct = list({w for some in split for w in some})
+        return [w for some in split for w in some], np.cumsum([len(some) for some in split]).tolist()
+
+    def _encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        cut = [c[0] in _BLANKS and c[-1] not in _BLANKS for c in chunks]
+        some = [c for c, blank in zip(chunks, cut) if blank]
+        flat, ends = self._matches(some) if some else ([], [])
+        for c in (c for c, blank in zip(chunks, cut) if not blank):
+            flat += self.match.findall(c)
+            some.append(c)
+            ends.append(len(flat))
+        distinct = list(set(flat))
         raw = [w.encode("utf-8", "replace") for w in distinct]
         found = self.known.find(raw)
         rest = [i for i, ids in enumerate(found) if ids is None]
         for i, ids in zip(rest, self.merges([raw[i] for i in rest])):
             found[i] = ids
-        words = dict(zip(distinct, found))
-        return {c: b"".join([words[w] for w in some]) for c, some in zip(chunks, split)}
+        ids = list(map(dict(zip(distinct, found)).__getitem__, flat))
+        return {c: ids[a] if b - a == 1 else b"".join(ids[a:b]) for c, a, b in zip(some, [0, *ends], ends)}
 
     def _encode_some(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [_CHUNK.findall(t) if t else [] for t in texts]
-        kept = self.young
-        fresh = {c: self.old.get(c) for c in set().union(*split) if c not in kept}
-        fresh.update(self._encode_chunks([c for c, ids in fresh.items() if ids is None]))
-        kept.update(fresh)
-        out = [np.frombuffer(b"".join([kept[c] for c in chunks]), dtype="<i4") for chunks in split]
-        for c in fresh:
+        kept, old = self.young, self.old
+        fresh = set().union(*split).difference(kept)
+        for c in fresh.intersection(old):
+            kept[c] = old[c]
+        new = list(fresh.difference(old))
+        kept.update(self._encode_chunks(new))
+        out = [np.frombuffer(b"".join(map(kept.__getitem__, chunks)), dtype="<i4") for chunks in split]
+        for c in new:
             if len(c) > LONGEST:
                 del kept[c]
         if len(kept) > _KEPT:
