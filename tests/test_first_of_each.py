@@ -60,7 +60,7 @@ def test_sample_goes_on_where_the_first_blocks_lie_outside(spark):
 
 
 def test_first_polygon_meets_a_bounded_number_of_polygons(spark, monkeypatch):
-    box = "array(array({}))".format(", ".join(f"named_struct('lon', 77.0D + {x}, 'lat', 20.0D + {y})" for x, y in (
+    box = "array(array({}))".format(", ".join(f"named_struct('lon', 77.0D + {x} + id * 1e-9D, 'lat', 20.0D + {y})" for x, y in (
         ("0.0D", "0.0D"), ("0.08D", "0.0D"), ("0.08D", "0.08D"), ("0.0D", "0.08D"), ("0.0D", "0.0D"))))
     villages = spark.range(3_000).selectExpr("id village_no", "concat('v', id) village", f"{box} rings")
     points = spark.range(40).selectExpr("id", "20.001D + id * 0.0001D lat", "77.001D + id * 0.0001D lon")
