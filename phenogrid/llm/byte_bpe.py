@@ -40,7 +40,7 @@ _NONE = 1 << 30
 _CACHED = 250_000
 # chunks kept by a worker in each of two generations, and characters of texts that it encodes together
 _KEPT = 100_000
-_TOGETHER = 1 << 19
+_TOGETHER = 1 << 18
 # words of more bytes, or of a length that few others have, are merged one by one
 _SHORT, _FEW = 32, 8
 # cuts only where a run of white space begins, so no match of a pattern of this family crosses a cut
